@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_format, sentencepiece_codec, source_mix, token_frames, url_filter
+from sessionloom.llm import chat_format, line_dedup, sentencepiece_codec, source_mix, token_frames, url_filter
 from sessionloom.llm._shared import documents
 
 #: Fixed values of the queries.
@@ -93,15 +93,45 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(documents(spark, sf_dir, "doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+), t AS (
+  SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l
+), v AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM t WHERE length(line) > 0
+), w AS (
+  SELECT a.doc_id, a.k, md5(a.line || chr(10) || b.line || chr(10) || c.line) AS h
+  FROM v a JOIN v b ON b.doc_id = a.doc_id AND b.k = a.k + 1 JOIN v c ON c.doc_id = a.doc_id AND c.k = a.k + 2
+), r AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS place FROM w
+), gone AS (
+  SELECT DISTINCT v.doc_id, v.i FROM r JOIN v ON v.doc_id = r.doc_id AND v.k BETWEEN r.k AND r.k + 2 WHERE place > 1
+), kept AS (
+  SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text, count(g.i) AS n_removed
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce((SELECT count(*) FROM v WHERE v.doc_id = d.doc_id), 0)::BIGINT AS n_lines,
+       coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(k.text) AS text_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_token_frames": op3_token_frames,
     "op4_url_filter": op4_url_filter,
     "op6_chat_format": op6_chat_format,
     "op9_source_mix": op9_source_mix,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
     "op4_url_filter": OP4_SQL,
     "op6_chat_format": OP6_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
