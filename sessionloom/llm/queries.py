@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_format, line_dedup, sentencepiece_codec, source_mix, token_frames, url_filter
+from sessionloom.llm import chat_format, line_dedup, quality_mcd, sentencepiece_codec, source_mix, token_frames, url_filter
 from sessionloom.llm._shared import documents
 
 #: Fixed values of the queries.
@@ -29,6 +29,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mcd.judged(documents(spark, sf_dir))
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.tokenised(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), END_ID)
 
@@ -123,6 +127,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
     "op3_token_frames": op3_token_frames,
     "op4_url_filter": op4_url_filter,
     "op6_chat_format": op6_chat_format,
