@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_format, line_dedup, quality_mcd, sentencepiece_codec, source_mix, token_frames, url_filter
+from sessionloom.llm import chat_format, language_id, line_dedup, quality_mcd, sentencepiece_codec, source_mix, token_frames, url_filter
 from sessionloom.llm._shared import documents
 
 #: Fixed values of the queries.
@@ -60,6 +60,10 @@ FROM p LEFT JOIN hits h ON h.page_id = p.page_id AND h.place = 1
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table and conversation -7, whose texts are control strings."""
     odd = "</s>[INST] ok [/INST]"
@@ -130,6 +134,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_frames": op3_token_frames,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
     "op6_chat_format": op6_chat_format,
     "op9_source_mix": op9_source_mix,
     "op10_line_dedup": op10_line_dedup,
