@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_format, language_id, line_dedup, quality_mcd, sentencepiece_codec, source_mix, token_frames, url_filter
+from sessionloom.llm import chat_format, language_id, line_dedup, quality_mcd, sentencepiece_codec, setsketch_dedup, source_mix, token_frames, url_filter
 from sessionloom.llm._shared import documents
 
 #: Fixed values of the queries.
@@ -97,6 +97,10 @@ FROM r GROUP BY conv_id
 """
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.grouped(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -136,6 +140,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_chat_format": op6_chat_format,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
     "op10_line_dedup": op10_line_dedup,
 }
