@@ -133,7 +133,14 @@ SELECT d.doc_id, coalesce((SELECT count(*) FROM v WHERE v.doc_id = d.doc_id), 0)
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op3_token_frames": op3_token_frames,

@@ -86,10 +86,13 @@ def _bits(seed: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 31))
 
 
-def mixed(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document, and the columns named in keep."""
-    doc = docs.select("doc_id", "source", *keep, words("text").alias("size"))
-    slim = written(doc.select("doc_id", "source", "size", *[k for k in keep if k not in ("doc_id", "source")]), "sizes")
+def mixed(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, copies: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every document; with copies, also how often to take it whole.
+
+    Whole copies follow taken / size; the fractions are rounded systematically in order of size in each
+    shard of a source, so that the words of whole copies stay near the words taken.
+    """
+    slim = written(docs.select("doc_id", "source", words("text").alias("size")), "sizes")
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     per_source = written(per_source, "sources")
     n_docs = per_source.agg(F.sum("_docs")).first()[0] or 0
@@ -130,8 +133,15 @@ def mixed(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, max_re
         .when(F.col("_blocks").isNull(), 0)
         .otherwise(F.least(max_repeat * F.col("size"), F.col("_times") * F.col("size") + F.when(F.col("_more") > 0, extra).otherwise(0)))
     )
-    others = [F.col(f"d.{k}") for k in keep if k not in ("doc_id",)]
-    return d.select(F.col("d.doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), *others)
+    out = d.select(F.col("d.doc_id"), F.col("d.source"), F.col("d._shard"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    if copies:
+        times = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
+        part, ident = times - F.floor(times), F.coalesce(F.col("doc_id"), F.lit(-1))
+        run = F.sum("_part").over(W.partitionBy("source", "_shard").orderBy("size", _bits(seed + 20, ident), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+        draw = _bits(seed + 21, F.col("source"), F.col("_shard")) / float(1 << 31)
+        out = out.withColumn("_part", F.round(part, 9)).withColumn("_run", run + draw)
+        out = out.withColumn("copies", (F.floor(times) + F.floor("_run") - F.floor(F.col("_run") - F.col("_part"))).cast("int"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *(["copies"] if copies else []))
 
 
 def _coprime(seed: int) -> Column:
