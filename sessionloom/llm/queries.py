@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_format, language_id, line_dedup, quality_mcd, sentencepiece_codec, setsketch_dedup, source_mix, token_frames, url_filter
+from sessionloom.llm import bm25_search, chat_format, language_id, line_dedup, quality_mcd, sentencepiece_codec, setsketch_dedup, source_mix, token_frames, url_filter
 from sessionloom.llm._shared import documents
 
 #: Fixed values of the queries.
@@ -97,6 +97,36 @@ FROM r GROUP BY conv_id
 """
 
 
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return bm25_search.searched(docs, docs.where("doc_id % 20 = 0"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+  FROM documents WHERE text IS NOT NULL
+), tf AS (
+  SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL
+), dl AS (
+  SELECT d.doc_id, coalesce(sum(n), 0)::DOUBLE AS size FROM documents d LEFT JOIN tf USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id
+), g AS (
+  SELECT count(*)::DOUBLE AS docs, greatest(1, sum(size) / greatest(1, count(*))) AS mean_size FROM dl
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), q AS (
+  SELECT doc_id AS query_id, term, round_even(1024 * n * ln(1 + (docs - df + 0.5) / (df + 0.5)), 0) AS weight FROM tf JOIN df USING (term), g WHERE doc_id % 20 = 0
+), p AS (
+  SELECT doc_id, term, round_even(1024 * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25 + 0.75 * size / mean_size)), 0) AS impact FROM tf JOIN dl USING (doc_id), g
+), s AS (
+  SELECT query_id, doc_id, sum(weight * impact) AS raw FROM q JOIN p USING (term) GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM s WHERE raw > 0
+)
+SELECT query_id, rank, doc_id, raw / 1048576.0::DOUBLE AS score FROM r WHERE rank <= 10
+"""
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_dedup.grouped(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -147,6 +177,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_chat_format": op6_chat_format,
+    "op7_bm25_search": op7_bm25_search,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
     "op10_line_dedup": op10_line_dedup,
@@ -155,5 +186,6 @@ QUERIES = {
 ORACLES = {
     "op4_url_filter": OP4_SQL,
     "op6_chat_format": OP6_SQL,
+    "op7_bm25_search": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
