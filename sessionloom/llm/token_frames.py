@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +40,20 @@ from pyspark.sql import functions as F
 from sessionloom.llm._shared import new_folder, written
 
 SEEK_MAGIC, DOCS_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_END_KEPT = 400_000
+#: Distinct chunks kept per Python worker; emptied when full.
+KEPT_CHUNKS = 700_000
 
 
 class Encoder:
     """The tokenizers library over distinct chunks, kept per Python worker.
 
     The byte-level pre-tokenizer always cuts before a space that precedes a visible character and around
-    runs of white space, so chunks ` ?visible` and white-space runs can be encoded apart. Texts with the
+    runs of white space, and between a letter and anything else, so words, what follows them up to the next
+    white space, and white-space runs can be encoded apart. Texts with the
     four characters that Python and the library class differently are encoded whole.
     """
 
-    _chunks = re.compile(r"\s+(?!\S)| ?\S+|\s").findall
+    _chunks = re.compile(r"\s+(?!\S)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])| ?\S+|\s").findall
     _odd = re.compile("[\x1c-\x1f]").search
 
     def __init__(self, path: str):
@@ -62,19 +65,38 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _visible(self, chunks: list[str]) -> list[bytes]:
+        """Chunks without line feeds, encoded as the lines of one text: a line feed before a visible character,
+        or before one space and a visible character, is always a token of its own."""
+        if self.feed is None:
+            return self._raw(chunks)
+        out: list[bytes] = []
+        for k in range(0, len(chunks), 20_000):
+            some = chunks[k : k + 20_000]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.r_[np.flatnonzero(ids == self.feed), len(ids)]
+            raw, starts = ids.tobytes(), np.r_[0, ends[:-1] + 4]
+            out += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         whole = {k for k, t in enumerate(texts) if self._odd(t)}
         cut = [[] if k in whole else self._chunks(t) for k, t in enumerate(texts)]
-        new = list({c for cs in cut for c in cs}.difference(self.kept))
-        if len(self.kept) + len(new) > _END_KEPT:
+        new = {c for cs in cut for c in cs}.difference(self.kept)
+        if len(self.kept) + len(new) > KEPT_CHUNKS:
             self.kept = {}
-            new = list({c for cs in cut for c in cs})
-        self.kept.update(zip(new, self._raw(new), strict=True))
+            new = {c for cs in cut for c in cs}
+        blank = [c for c in new if c.isspace()]
+        shown = list(new.difference(blank))
+        self.kept.update(zip(blank, self._raw(blank), strict=True))
+        self.kept.update(zip(shown, self._visible(shown), strict=True))
         look = self.kept.__getitem__
         out = [b"".join(map(look, cs)) for cs in cut]
         for k in whole:
