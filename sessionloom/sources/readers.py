@@ -80,7 +80,8 @@ def decoded(payloads: DataFrame, column: str = "content") -> DataFrame:
 def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A header CSV with quoted multi-line fields; without a schema all columns are strings (nothing is scanned to infer types)."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
 
 
 def latest(spark: SparkSession, folder: str, pattern: str) -> str:
