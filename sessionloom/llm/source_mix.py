@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm._shared import written
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 16
 DOCS_PER_SHARD = 8192
 MAX_REPEAT = 3
 
