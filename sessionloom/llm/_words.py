@@ -40,7 +40,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (2 << 20) + 1)
         for k, base in enumerate((_P, _P_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -126,7 +126,7 @@ def hash_windows(hashes: np.ndarray, w: Words, size: int) -> tuple[np.ndarray, n
     return mixed(out[whole]), w.row[:n][whole]
 
 
-def slices(rows: int, offsets: np.ndarray, most_bytes: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(rows: int, offsets: np.ndarray, most_bytes: int = 2 << 20) -> list[tuple[int, int]]:
     """Ranges of rows of at most most_bytes each (one row at least), so that work arrays stay bounded."""
     out, at = [], 0
     while at < rows:

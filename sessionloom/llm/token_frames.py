@@ -41,7 +41,7 @@ from sessionloom.llm._shared import new_folder, written
 
 SEEK_MAGIC, DOCS_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Distinct chunks kept per Python worker; emptied when full.
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS = 500_000
 
 
 class Encoder:
