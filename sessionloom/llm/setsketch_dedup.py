@@ -44,6 +44,9 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SLACK = 0.15
 BLOCK = 2048
 SALT_ROWS = 256
+#: Pairs a member above which a block's members are sent as groups, and the bounds of half a group.
+DENSE = 4
+GROUP_DOCS, GROUP_SHINGLES = 256, 1 << 18
 
 _SEEDS = _words.mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _ODD = _words.mixed(_SEEDS + np.uint64(5)) | np.uint64(1)
@@ -207,7 +210,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def _cross(open_members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of a bucket in different components that the estimate doesn't rule out, in blocks."""
+    """Trials for a bucket's pairs in different components that the estimate doesn't rule out.
+
+    Few pairs come as rows a, b. Where a block has more than DENSE pairs a member, its members come instead as
+    rows a, grp: groups of bounded text whose pairs are all tried at once by _group_links. Rows therefore
+    grow with members, not with pairs.
+    """
     sizes = open_members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     m = open_members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     m = m.join(reps.select("doc", "n", "regs"), "doc")
@@ -215,12 +223,14 @@ def _cross(open_members: DataFrame, reps: DataFrame, threshold: float) -> DataFr
     spread = m.withColumn("with", other).select("key", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "doc", "root", "n", "regs")
     dealt = spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "doc")
 
-    def pairs_of(g: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def trials_of(g: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(g).combine_chunks()
         doc, root, n, block = (t.column(c).to_numpy() for c in ("doc", "root", "n", "block"))
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        key, x, y = (t.column(c)[0].as_py() for c in ("key", "x", "y"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        out_a, out_b = [], []
+        out_a: list[np.ndarray] = []
+        out_b: list[np.ndarray] = []
+        used = np.zeros(len(doc), bool)
         for i in range(len(doc)):
             j = np.arange(i + 1, len(doc))
             j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (x == y))]
@@ -230,29 +240,105 @@ def _cross(open_members: DataFrame, reps: DataFrame, threshold: float) -> DataFr
             if len(j):
                 e = estimate(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float))
                 j = j[e >= threshold - SLACK]
-                out_a.append(np.minimum(doc[i], doc[j]))
-                out_b.append(np.maximum(doc[i], doc[j]))
-        if not out_a:
+                out_a.append(np.full(len(j), i))
+                out_b.append(j)
+                used[i] |= len(j) > 0
+                used[j] = True
+        if not used.any():
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+        pa_, pb_ = np.concatenate(out_a), np.concatenate(out_b)
+        if len(pa_) <= DENSE * used.sum():
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[pa_], doc[pb_])), pa.array(np.maximum(doc[pa_], doc[pb_])), pa.nulls(len(pa_), pa.int64())], ["a", "b", "grp"])
+        some = np.flatnonzero(used)
+        part = np.maximum(np.cumsum(n[some]) // GROUP_SHINGLES, np.arange(len(some)) // GROUP_DOCS)
+        parts = np.unique(part, return_inverse=True)[1]
+        last = int(parts.max())
+        members, groups = [], []
+        for u in range(last + 1):
+            for v in range(u, last + 1):
+                if u == v and last > 0:
+                    continue  # pairs inside a part are tried with each of its neighbours
+                at = some[(parts == u) | (parts == v)]
+                name = _words.mixed(np.array([key], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(((x * 4099 + y) * 4099 + u) * 4099 + v))
+                members.append(doc[at])
+                groups.append(np.full(len(at), name.view(np.int64)[0]))
+        a, grp = np.concatenate(members), np.concatenate(groups)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(grp)], ["a", "b", "grp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
-            cuts = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1, b.num_rows]
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                here = tuple(ids[:, s].tolist())
-                if here != at and group:
-                    if (got := pairs_of(group)) is not None:
-                        yield got
-                    group = []
-                at = here
-                group.append(b.slice(s, e - s))
-        if group and (got := pairs_of(group)) is not None:
-            yield got
+        for g in _runs(batches, ["key", "x", "y"]):
+            if (got := trials_of(g)) is not None:
+                yield got
+
+    return dealt.mapInArrow(run, "a long, b long, grp long").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of consecutive rows that agree in names, across batches."""
+    at, group = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in names])
+        cuts = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1, b.num_rows]
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            here = tuple(ids[:, s].tolist())
+            if here != at and group:
+                yield group
+                group = []
+            at = here
+            group.append(b.slice(s, e - s))
+    if group:
+        yield group
+
+
+def linked_pairs(hashes: np.ndarray, first: np.ndarray, percent: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that join all rows of one group which exact links connect: all intersections from products
+    of 0/1 matrices over the shingles that two rows or more share, then a spanning forest of the links."""
+    rows = len(first) - 1
+    n = np.diff(first)
+    row = np.repeat(np.arange(rows), n)
+    _, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    often = count[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((rows, rows), np.float64)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+        lo, hi = np.searchsorted(column, [c, c + chunk])
+        m = np.zeros((rows, chunk), np.float32)
+        m[row[lo:hi], column[lo:hi] - c] = 1.0
+        both += m @ m.T
+    either = n[:, None] + n[None, :] - both
+    i, j = np.nonzero(np.triu((both > 0) & (100 * both >= percent * either), 1))
+    tree, keep = list(range(rows)), []
+
+    def root(v: int) -> int:
+        while tree[v] != v:
+            tree[v] = tree[tree[v]]
+            v = tree[v]
+        return v
+
+    for k, (u, v) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        ru, rv = root(u), root(v)
+        if ru != rv:
+            tree[ru] = rv
+            keep.append(k)
+    return i[keep], j[keep]
+
+
+def _group_links(groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links that connect what exact links connect inside each group (grp, a). docs: doc, text."""
+    sent = groups.select("grp", F.col("a").alias("doc")).join(docs, "doc").select("grp", "doc", "text")
+    dealt = sent.repartition("grp").sortWithinPartitions("grp", "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _runs(batches, ["grp"]):
+            t = pa.Table.from_batches(g)
+            doc = t.column("doc").to_numpy()
+            i, j = linked_pairs(*shingles(t.column("text"), size), percent)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -280,15 +366,20 @@ def grouped(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     where = classes.select("doc", "first.doc_id", "first.text_hash")
     near = written(_close(stars, reps, threshold), "near")
-    links = written(_verified(near, _texts_of(near, where, texts), size, percent), "links")
+    links = written(_verified(near, _texts_of(_ends(near), where, texts), size, percent), "links")
     roots = written(components(links), "roots")
     # What the stars left open: buckets whose members still lie in different components.
     placed = members.select("key", "doc").join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    rest = written(_cross(placed.join(mixed, "key"), reps, threshold).join(near, ["a", "b"], "left_anti").join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "rest")
-    more = written(_verified(rest, _texts_of(rest, where, texts), size, percent), "links")
-    every = links.unionByName(more)
+    trials = written(_cross(placed.join(mixed, "key"), reps, threshold), "trials")
+    rest = trials.where("grp IS NULL").select("a", "b")
+    rest = rest.join(near, ["a", "b"], "left_anti").join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    rest = written(rest, "rest")
+    more = written(_verified(rest, _texts_of(_ends(rest), where, texts), size, percent), "links")
+    groups = trials.where("grp IS NOT NULL").select("grp", "a")
+    dense = written(_group_links(groups, _texts_of(groups.select(F.col("a").alias("doc")), where, texts), size, percent), "links")
+    every = links.unionByName(more).unionByName(dense)
     final = written(components(every), "roots")
     of_class = classes.select("doc", "first.doc_id").join(final, F.col("doc") == F.col("node"), "left").select("doc", "doc_id", F.coalesce("root", "doc").alias("root"))
     low = of_class.groupBy("root").agg(F.min("doc_id").alias("_low"))
@@ -298,7 +389,11 @@ def grouped(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _texts_of(pairs: DataFrame, where: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc, text of the classes in pairs, from the row of their smallest document."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(where, "doc")
+def _texts_of(nodes: DataFrame, where: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc, text of distinct classes (column doc), from the row of their smallest document."""
+    named = nodes.distinct().join(where, "doc")
     return texts.join(named, ["doc_id", "text_hash"]).select("doc", "text").dropDuplicates(["doc"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
