@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sessionloom.llm._words import mixed
+
 SAMPLE_DOCS = 400
 SWITCH_COST = 14.0
 WORST = 6.0
 FOLDS, HELD_OUT = 3, 1
 _WORDS = re.compile(r"[^\W\d_]+").findall
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 
 #: First and last code points of scripts.
 SCRIPTS = {
@@ -58,6 +61,8 @@ SCRIPTS = {
 
 def script_of(word: str) -> str:
     """The script of a word's first letter that has one; `other` without."""
+    if word.isascii():
+        return "latin" if any(map(str.isalpha, word)) else "other"
     for c in word:
         p = ord(c)
         for name, ranges in SCRIPTS.items():
@@ -71,25 +76,57 @@ def grams(word: str) -> list[str]:
     return [marked[k : k + n] for n in (1, 2, 3, 4) for k in range(len(marked) - n + 1)] + [f"={word}"]
 
 
+def gram_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of its word) of every n-gram of ^word$, from code points at once."""
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    m = len(points) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.full(m, n, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + points[k : k + m]
+    whole = word[:m] == word[n - 1 :]
+    return mixed(h[whole]), word[:m][whole]
+
+
 @dataclass
 class Model:
-    """Bounded by the sample: one row of log probabilities a gram, one allowed-language mask a script."""
+    """Bounded by the sample: log probabilities by sorted gram hash and by word, one allowed-language mask a script."""
 
     langs: list[str]
-    index: dict[str, int]
+    hashes: np.ndarray
     table: np.ndarray
+    words: dict[str, int]
+    word_table: np.ndarray
     scripts: dict[str, np.ndarray]
-
-    def score(self, word: str) -> np.ndarray:
-        """Per language, 0 for the best and -WORST at least; all 0 if the word says nothing."""
-        word = word.lower()
-        rows = [self.index[g] for g in grams(word) if g in self.index]
-        allowed = self.scripts.get(script_of(word))
-        if allowed is None or not allowed.any():
-            return np.zeros(len(self.langs), np.float32)
-        s = self.table[rows].sum(axis=0) if rows else np.zeros(len(self.langs))
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """words x languages: 0 for the best and -WORST at least; all 0 if a word says nothing."""
+        low = [w.lower() for w in words]
+        langs = len(self.langs)
+        s = np.zeros((len(low), langs))
+        for n in (1, 2, 3, 4) if len(self.hashes) else ():
+            h, word = gram_hashes(low, n)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            at, word = at[hit], word[hit]
+            for k in range(langs):
+                s[:, k] += np.bincount(word, self.table[at, k], len(low))
+        known = [(k, i) for k, i in enumerate(map(self.words.get, low)) if i is not None]
+        if known:
+            k, i = np.array(known).T
+            s[k] += self.word_table[i]
+        names = list(self.scripts)
+        masks = np.array([*self.scripts.values(), np.zeros(langs, bool)])
+        number = {name: k for k, name in enumerate(names)}
+        allowed = masks[np.fromiter((number.get(script_of(w), len(names)) for w in low), np.int64, len(low))]
+        silent = ~allowed.any(axis=1)
         s = np.where(allowed, s, -np.inf)
-        return np.maximum(s - s.max(), -WORST).astype(np.float32)
+        s[silent] = 0.0
+        return np.maximum(s - s.max(axis=1, keepdims=True), -WORST).astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,7 +138,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
-        return Model([], {}, np.zeros((0, 0)), {})
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), {}, np.zeros((0, 0)), {})
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(math.ceil((1 << 30) * min(1.0, 1.5 * sample_docs / n))))])
     thin = rows.where(draw < share[F.col("lang")]).select("text", "lang", draw.alias("_draw"))
@@ -136,7 +173,18 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     for k in np.unique(kind):
         at = kind == k
         table[at] = np.log((table[at] + 0.5) / (table[at].sum(axis=0) + 0.5 * at.sum()))
-    return Model(langs, index, table, scripts)
+    grams_at = np.flatnonzero(kind < 5)
+    hashes = np.zeros(len(names), np.uint64)
+    for n in (1, 2, 3, 4):
+        at = np.flatnonzero(kind == n)
+        points = np.frombuffer("".join(names[at]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(at), n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0xD6E8FEB86659FD93) + points[:, k]
+        hashes[at] = mixed(h)
+    order = grams_at[np.argsort(hashes[grams_at])]
+    whole = np.flatnonzero(kind == 5)
+    return Model(langs, hashes[order], table[order], {names[k][1:]: i for i, k in enumerate(whole.tolist())}, table[whole], scripts)
 
 
 def best_paths(scores: np.ndarray, first: np.ndarray, cost: float) -> np.ndarray:
@@ -194,6 +242,7 @@ class Labeller:
     def _empty(self) -> None:
         self.ids: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(0, np.int64)
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of each word in self.rows, letters of each word, first)."""
@@ -205,10 +254,11 @@ class Labeller:
         if new:
             new = sorted(new)
             self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-            self.rows = np.vstack([self.rows, np.array([self.model.score(w) for w in new], np.float32).reshape(len(new), -1)])
-        ids = np.fromiter((self.ids[w] for ws in split for w in ws), np.int64)
-        letters = np.fromiter((sum(map(str.isalpha, w)) if not w.isalpha() else len(w) for ws in split for w in ws), np.int64)
-        return ids, letters, np.r_[0, np.cumsum([len(ws) for ws in split])].astype(np.int64)
+            for k in range(0, len(new), 20_000):
+                self.rows = np.vstack([self.rows, self.model.scores(new[k : k + 20_000])])
+            self.letters = np.r_[self.letters, [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]].astype(np.int64)
+        ids = np.array([i for ws in split for i in map(self.ids.__getitem__, ws)], np.int64)
+        return ids, self.letters[ids], np.r_[0, np.cumsum([len(ws) for ws in split])].astype(np.int64)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.model.langs:
@@ -243,7 +293,7 @@ class Labeller:
         return out
 
 
-_LABELLERS: dict[int, Labeller] = {}
+_LABELLERS: dict[str, Labeller] = {}
 
 
 def predicted(docs: DataFrame, model: Model, cost: float = SWITCH_COST) -> DataFrame:
@@ -251,10 +301,10 @@ def predicted(docs: DataFrame, model: Model, cost: float = SWITCH_COST) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = id(shared)
+        model_, key = shared.value, f"{shared.value.key}-{cost}"
         if key not in _LABELLERS:
             _LABELLERS.clear()
-            _LABELLERS[key] = Labeller(shared.value, cost)
+            _LABELLERS[key] = Labeller(model_, cost)
         for texts in batches:
             rows: list[tuple[str, float]] = []
             sizes = texts.str.len().fillna(0).to_numpy()
