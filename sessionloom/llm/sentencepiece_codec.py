@@ -20,16 +20,20 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
 #: Distinct words kept per Python worker; the memory is emptied when full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Characters of text that a worker cuts into words at once.
+PART_CHARS = 500_000
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -120,19 +124,14 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Symbol numbers of distinct words by merge rounds, then ids with byte fallback."""
-        done: list[list[int] | None] = [None] * len(words)
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        queued: dict[int, list[int]] = {}
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         uniq, back = np.unique(points, return_inverse=True)
         sym = np.array([self._symbol(chr(c)) for c in uniq.tolist()], np.int64)[back] if len(points) else points
         word = np.repeat(np.arange(len(words)), sizes)
 
-        def finish(symbols: np.ndarray, of: np.ndarray) -> None:
-            if len(of):
-                at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                for k, part in zip(of[at].tolist(), np.split(symbols, at[1:]), strict=True):
-                    done[k] = part.tolist()
-
         while len(sym):
             same = word[:-1] == word[1:]
             rank, merged = self._pairs(sym[:-1], sym[1:])
@@ -143,7 +142,7 @@ class Codec:
             best = np.minimum.reduceat(rank, heads)
             span = np.diff(np.r_[heads, len(sym)])
             open_word = np.repeat(best < _NO_RANK, span)
-            finish(sym[~open_word], word[~open_word])
+            ended.append((sym[~open_word], word[~open_word]))
             if not open_word.any():
                 break
             best = np.repeat(best, span)[open_word]
@@ -172,19 +171,22 @@ class Codec:
                 # Finish these words one merge at a time, from their symbols before this round.
                 again = np.isin(word, bad)
                 for k in np.unique(bad).tolist():
-                    done[k] = self._queue([self._symbol(c) for c in words[k]])
+                    queued[k] = self._queue([self._symbol(c) for c in words[k]])
                 keep &= ~again
             sym, word = sym[keep], word[keep]
-        return [self._ids(s or []) for s in done]
-
-    def _ids(self, symbols: list[int]) -> tuple[int, ...]:
+        sym, word = (np.concatenate(x) for x in zip(*ended, strict=True)) if ended else (sym, word)
+        order = np.argsort(word, kind="stable")
+        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        flat = sym[order].tolist()
+        out = [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for k, symbols in queued.items():
+            out[k] = tuple(symbols)
+        # Characters outside the vocabulary become their bytes.
         n = len(self.pieces)
-        if all(s < n for s in symbols):
-            return tuple(symbols)
-        out: list[int] = []
-        for s in symbols:
-            out += [s] if s < n else [self.byte_id[b] for b in chr(s - n).encode("utf-8", "surrogatepass")]
-        return tuple(out)
+        unknown = {*np.unique(word[sym >= n]).tolist(), *(k for k, symbols in queued.items() if max(symbols) >= n)}
+        for k in unknown:
+            out[k] = tuple(i for s in out[k] for i in ([s] if s < n else [self.byte_id[b] for b in chr(s - n).encode("utf-8", "surrogatepass")]))
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, without an end id."""
@@ -197,7 +199,7 @@ class Codec:
             part = new[k : k + 50_000]
             self.kept.update(zip(part, self.encode_words(part), strict=True))
         look = self.kept.__getitem__
-        return [[i for ids in map(look, ws) for i in ids] for ws in cut]
+        return [list(chain.from_iterable(map(look, ws))) for ws in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The library's decode(ids)."""
@@ -213,7 +215,7 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def parts_of(batch: pd.DataFrame, text: str, most_chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def parts_of(batch: pd.DataFrame, text: str, most_chars: int = PART_CHARS) -> Iterator[pd.DataFrame]:
     """The batch in pieces of bounded text (one row at least)."""
     sizes = batch[text].str.len().fillna(0).to_numpy()
     piece = (np.cumsum(sizes) // most_chars).astype(int)
@@ -228,10 +230,18 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            encoded = [e + [c.end_id] if add_end else e for e in c.encode(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoded, pa.list_(pa.int32()))], [*batch.schema.names, ids])
+        tail = (c.end_id,) if add_end else ()
+        for whole in batches:
+            sizes = pc.fill_null(pc.utf8_length(whole.column(text)), 0).to_numpy(zero_copy_only=False)
+            piece = np.cumsum(sizes) // PART_CHARS
+            cuts = np.r_[0, np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(piece)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                batch = whole.slice(a, b - a)
+                encoded = c.encode([t or "" for t in batch.column(text).to_pylist()])
+                ends = np.cumsum([len(e) + add_end for e in encoded])
+                flat = np.fromiter(chain.from_iterable(chain(e, tail) for e in encoded), np.int32, int(ends[-1]) if len(ends) else 0)
+                made = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
