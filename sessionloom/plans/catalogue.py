@@ -38,7 +38,9 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def on_prompts(f: Callable[[DataFrame], DataFrame], sql: str | None, name: str) -> None:
-    query(sql, name)(lambda s, d: f(views.prompts(s, d)))
+    """Queries without sql read every document whole; an oracle holds the others to v_prompts."""
+    view = views.prompts if sql else views.whole_prompts
+    query(sql, name)(lambda s, d: f(view(s, d)))
 
 
 # SQL spellings shared by the oracles.
@@ -625,31 +627,31 @@ def pca_2d(s, d):
 
 @query(None)
 def train_multiclass(s, d):
-    p = splits.group_split(features.derived(sessions.with_action_labels(views.prompts(s, d))))
-    return ml.trained(features.assembled(features.metadata_columns(p, features.METADATA), features.METADATA), "action_type", only=["logistic_regression", "random_forest"])
+    p = splits.group_split(features.derived(sessions.with_action_labels(views.whole_prompts(s, d))))
+    return ml.trained(features.assembled(features.metadata_columns(p, features.METADATA), features.METADATA).select("features", "action_type", "is_test"), "action_type", only=["logistic_regression", "random_forest"])
 
 
 @query(None)
 def train_binary(s, d):
-    p = splits.group_split(features.derived(views.prompts(s, d)))
-    return ml.trained_binary(features.assembled(features.metadata_columns(p, features.METADATA), features.METADATA), "has_generated_code")
+    p = splits.group_split(features.derived(views.whole_prompts(s, d)))
+    return ml.trained_binary(features.assembled(features.metadata_columns(p, features.METADATA), features.METADATA).select("features", "has_generated_code", "is_test"), "has_generated_code")
 
 
 @query(None)
 def train_regression(s, d):
-    p = splits.group_split(features.derived(views.prompts(s, d))).withColumn("response", F.length("agent_response"))
-    return ml.trained_regression(features.assembled(features.metadata_columns(p, features.METADATA), features.METADATA), "response")
+    p = splits.group_split(features.derived(views.whole_prompts(s, d))).withColumn("response", F.length("agent_response"))
+    return ml.trained_regression(features.assembled(features.metadata_columns(p, features.METADATA), features.METADATA).select("features", "response", "is_test"), "response")
 
 
 @query(None)
 def llm_label_stub(s, d):
-    p = sessions.with_action_labels(views.prompts(s, d))
+    p = sessions.with_action_labels(views.whole_prompts(s, d))
     return external.labelled(p).select("row_id", "action_type", "llm_action_type", "llm_confidence", "llm_error")
 
 
 @query(None)
 def human_review_sheet(s, d):
-    return external.review_sheet(external.labelled(sessions.with_action_labels(views.prompts(s, d))), 5)
+    return external.review_sheet(external.labelled(sessions.with_action_labels(views.whole_prompts(s, d))), 5)
 
 
 # --- streaming -------------------------------------------------------------------------------------

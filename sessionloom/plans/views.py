@@ -22,6 +22,14 @@ PROMPTS = [
     "CASE WHEN doc_id % 7 < 3 THEN substr(text, 1, CAST((doc_id % 5) * 100 AS INT)) ELSE '' END AS generated_code",
     "substr(text, 1, CAST((doc_id % 6) * 30 AS INT)) AS agent_response",
 ]
+#: The same columns over every row and the whole text; no oracle reads them.
+_PHRASE = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, (s, _) in enumerate(SEEDS)) + " ELSE '' END"
+_WHOLE = {
+    "prompt_text": f"concat({_PHRASE}, coalesce(text, '')) AS prompt_text",
+    "generated_code": "CASE WHEN doc_id % 7 < 3 THEN coalesce(text, '') ELSE '' END AS generated_code",
+    "agent_response": "coalesce(text, '') AS agent_response",
+}
+WHOLE_PROMPTS = [_WHOLE.get(c.rsplit(" ", 1)[1], c) for c in PROMPTS]
 _ENGLISH = "lang = 'en' AND text IS NOT NULL AND {bytes}(text) = length(text)"
 
 #: For DuckDB, as the body of a WITH entry.
@@ -46,6 +54,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(_ENGLISH.format(bytes="octet_length")).selectExpr(*PROMPTS)
 
 
+def whole_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of prompts for every document, whatever its language and characters, with its whole text."""
+    return table(spark, sf_dir, "documents").selectExpr(*WHOLE_PROMPTS)
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*HITS)
 
