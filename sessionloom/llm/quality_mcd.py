@@ -2,8 +2,8 @@
 
 Each document gets counts over its whole text, found on Arrow buffers. Four transformed statistics (log
 mean word length, and the arcsine roots of the shares of symbols, repeated lines and repeated words) form
-its vector; shares of short texts are smoothed towards their group's totals. Groups are language and
-source; groups of fewer than min_rows rows are pooled by language, then all together.
+its vector: each as its deviation from the group's median, divided by how much wider texts of this length
+spread by sampling alone than long ones. Groups are language and source; groups of fewer than min_rows rows are pooled by language, then all together.
 
 The estimate of a group starts from two fixed points (coordinate-wise median and spread; mean and
 covariance). Concentration steps follow: distances of all rows, the distance below which a share h of the
@@ -36,10 +36,13 @@ from sessionloom.llm._shared import drop_written, written
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Share of rows that the estimate rests on, and its consistency factor in four dimensions.
 SHARE, CONSISTENCY = 0.75, 1.487
-#: Least standard deviations (the ridge), and the pseudo-counts of the smoothing.
-FLOORS, SMOOTH_WORDS, SMOOTH_LINES = (0.06, 0.06, 0.12, 0.12), 200.0, 10.0
-#: Of the squared distance; the 1 - 1e-6 quantile of chi-squared with four degrees of freedom.
-CUTOFF = 33.4
+#: Least standard deviations (the ridge), only to keep the scatter regular.
+FLOORS = (0.02, 0.02, 0.03, 0.03)
+#: Spread of long texts, and what sampling adds to the variance: so much over the words (lines for x2) of a text.
+#: Repeats come as whole lines, so that one makes some 32 words repeated ones.
+SPREADS, SAMPLING = (0.03, 0.03, 0.05, 0.05), (0.3, 0.25, 0.5, 8.0)
+#: Of the squared distance; the 0.999 quantile of chi-squared with four degrees of freedom.
+CUTOFF = 18.47
 MIN_ROWS, STEPS, BINS = 200, 3, 32
 _D = 4
 
@@ -123,19 +126,14 @@ def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """g, and x0 .. x3, smoothed by the totals of g."""
-    total = rows.groupBy("g").agg(*[F.sum(c).cast("double").alias(f"t_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
-    j = rows.join(written(total, "totals"), "g")
-    sw, sl = F.lit(SMOOTH_WORDS), F.lit(SMOOTH_LINES)
-    chars_per_word = F.col("t_word_chars") / F.col("t_n_words")
-    root = lambda part, rest, prior, s: F.asin(F.sqrt(F.least(F.lit(1.0), (F.col(part) + s * prior) / (F.col(rest) + s))))
-    return j.select(
-        *rows.columns,
-        F.round(F.log((F.col("word_chars") + sw * chars_per_word) / (F.col("n_words") + sw)), 6).alias("x0"),
-        F.round(root("n_symbols", "word_chars", F.col("t_n_symbols") / F.col("t_word_chars"), sw * chars_per_word), 6).alias("x1"),
-        F.round(root("n_dup_lines", "n_lines", F.col("t_n_dup_lines") / F.col("t_n_lines"), sl), 6).alias("x2"),
-        F.round(root("n_repeat_words", "n_words", F.col("t_n_repeat_words") / F.col("t_n_words"), sw), 6).alias("x3"),
-    )
+    """g, and x0 .. x3: deviations from the medians of g, on the scale of long texts."""
+    root = lambda part, whole: F.asin(F.sqrt(F.least(F.lit(1.0), F.col(part) / F.col(whole))))
+    raw = [F.log(F.col("word_chars") / F.col("n_words")), root("n_symbols", "word_chars"), root("n_dup_lines", "n_lines"), root("n_repeat_words", "n_words")]
+    r = rows.withColumns({f"x{i}": F.round(c, 3) for i, c in enumerate(raw)})  # rounded, so that a median keeps few values
+    middle = written(r.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(_D)]), "medians")
+    size = ["n_words", "n_words", "n_lines", "n_words"]
+    scale = [F.sqrt(1 + SAMPLING[i] / SPREADS[i] ** 2 / F.col(size[i])) for i in range(_D)]
+    return r.join(middle, "g").select(*rows.columns, *[F.round((F.col(f"x{i}") - F.col(f"m{i}")) / scale[i], 6).alias(f"x{i}") for i in range(_D)])
 
 
 def _distance() -> Column:

@@ -76,6 +76,22 @@ def test_outliers_leave_clean_documents(spark):
     assert not any(v for k, v in kept.items() if 1000 <= k < 2000)
 
 
+def test_outliers_of_short_junk(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(2000)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    sign = lambda n: " ".join("".join(r.choice("#*$%&|<>") for _ in range(5)) for _ in range(n))
+    mixed = lambda n, share: " ".join(sign(1) if r.random() < share else r.choice(words) for _ in range(n))
+    rows = [(i, "\n".join(line(8) for _ in range(r.randrange(3, 100))), "s") for i in range(800)]
+    junk = [sign(20), sign(28), mixed(60, 0.5), mixed(200, 0.2), mixed(200, 0.5), sign(200)]
+    # Repeated lines between others: no eight-word window is held twice.
+    junk.append("\n".join(x for _ in range(25) for x in ("same line", line(6))))
+    rows += [(1000 + i, t, "s") for i, t in enumerate(junk)]
+    kept = {x["doc_id"]: x["kept"] for x in quality_mcd.judged(frame(spark, rows)).collect()}
+    assert not [k for k, v in kept.items() if k >= 1000 and v]
+    assert sum(not kept[i] for i in range(800)) <= 8
+
+
 # --- op5 ---
 def test_language(spark, sf_dir, docs):
     out = language_id.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
