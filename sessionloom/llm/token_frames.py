@@ -50,7 +50,7 @@ class Encoder:
     The byte-level pre-tokenizer always cuts before a space that precedes a visible character and around
     runs of white space, and between a letter and anything else, so words, what follows them up to the next
     white space, and white-space runs can be encoded apart. Texts with the
-    four characters that Python and the library class differently are encoded whole.
+    four characters that Python and the library class differently, or with an added token's content, are encoded whole.
     """
 
     _chunks = re.compile(r"\s+(?!\S)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])| ?\S+|\s").findall
@@ -63,7 +63,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Compared without regard to case, which a normalizer may change.
+        self._added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else None
         self.kept: dict[str, bytes] = {}
         feed = self.library.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
@@ -87,7 +89,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = {k for k, t in enumerate(texts) if self._odd(t)}
+        whole = {k for k, t in enumerate(texts) if self._odd(t) or (self._added and self._added(t))}
         cut = [[] if k in whole else self._chunks(t) for k, t in enumerate(texts)]
         new = {c for cs in cut for c in cs}.difference(self.kept)
         if len(self.kept) + len(new) > KEPT_CHUNKS:

@@ -41,6 +41,17 @@ def test_byte_bpe_equals_library():
     assert e.encode(t) == want
 
 
+def test_byte_bpe_equals_untouched_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    t = [*texts(300), "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", "<|endoftext| >", "  <|endoftext|>  ", "<|EndOfText|>", "a <|endo", "ftext|>"]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in t]
+    assert token_frames.Encoder(path).encode(t) == want
+    assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def odd_docs(spark):
     rows = [(3, "b b"), (1, None), (2, ""), (None, "null id"), (3, "b b"), (3, "another text"), (9, "word " * 30_000), (-5, "é\n\n x")]
