@@ -3,13 +3,14 @@
 Each document gets counts over its whole text, found on Arrow buffers. Four transformed statistics (log
 mean word length, and the arcsine roots of the shares of symbols, repeated lines and repeated words) form
 its vector: each as its deviation from the group's median, divided by how much wider texts of this length
-spread by sampling alone than long ones. Groups are language and source; groups of fewer than min_rows rows are pooled by language, then all together.
+spread by sampling alone than long ones. Groups are language and source; groups of fewer than min_rows
+rows are pooled by language, then all together.
 
 The estimate of a group starts from two fixed points (coordinate-wise median and spread; mean and
 covariance). Concentration steps follow: distances of all rows, the distance below which a share h of the
-rows lies (from counts in narrow logarithmic bins), mean and covariance of those rows. The start with the
-smaller determinant wins. A ridge keeps the scatter regular where most rows agree exactly, as copies do.
-A document is rejected if its Mahalanobis distance exceeds the cutoff.
+rows lies (from counts in narrow logarithmic bins), mean and covariance of those rows, until no determinant
+falls any more. The start with the smaller determinant wins. A ridge keeps the scatter regular where
+most rows agree exactly, as copies do. A document is rejected if its Mahalanobis distance exceeds the cutoff.
 
 All steps are aggregations over (group, bin) or group; no task holds a group, and a hot group combines
 before each shuffle. Only the inversion of one small matrix a group runs in Python.
@@ -43,7 +44,9 @@ FLOORS = (0.02, 0.02, 0.03, 0.03)
 SPREADS, SAMPLING = (0.03, 0.03, 0.05, 0.05), (0.3, 0.25, 0.5, 8.0)
 #: Of the squared distance; the 0.999 quantile of chi-squared with four degrees of freedom.
 CUTOFF = 18.47
-MIN_ROWS, STEPS, BINS = 200, 3, 32
+MIN_ROWS, BINS = 200, 32
+#: Bound of the concentration steps, which end when no determinant falls by more than the share TOLERANCE.
+MOST_STEPS, TOLERANCE = 100, 1e-6
 _D = 4
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -177,7 +180,7 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(_D)], *squares)
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
+def estimates(rows: DataFrame, steps: int = MOST_STEPS, share: float = SHARE) -> DataFrame:
     """g, n, m, p: the estimate of each group, from rows with g and x0 .. x3."""
     keys = ["g", "start"]
     # Start 0: medians and spreads, each from bins of width 0.002; start 1: all rows.
@@ -192,14 +195,24 @@ def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> Data
     precision = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_D - 1)), lambda i: F.transform("a", lambda x: F.when(x["i"] == i, 1.0 / x["v"]).otherwise(0.0))))
     first = arrays.select("g", F.lit(0).alias("start"), F.transform("a", lambda x: x["mid"]).alias("m"), precision.alias("p"), F.lit(0.0).alias("det"))
     params = written(first.unionByName(_solved(_moments(rows.withColumn("start", F.lit(1)), keys), keys, 1.0)), "start")
-    for _ in range(steps):
+    for step in range(steps):
         d = rows.join(params.drop("det"), "g").withColumn("bin", _bin(_distance()))
         top = written(_quantile_bins(d, keys, share), "top")
         inner = d.join(top, keys).where(F.col("bin") <= F.col("top"))
-        new = written(_solved(_moments(inner, keys), keys, CONSISTENCY), "step")
+        new = _solved(_moments(inner, keys), keys, CONSISTENCY)
+        # A start whose determinant has stopped falling keeps its estimate; the first step has nothing to compare with.
+        was = params.select(*keys, F.struct("m", "p", "det").alias("was"))
+        fell = F.lit(True) if step == 0 else F.col("det") < F.col("was.det") * (1 - TOLERANCE)
+        chosen = F.when(fell, F.struct("m", "p", "det")).otherwise(F.col("was"))
+        moved = new.join(was, keys).select(*keys, chosen.alias("now"), fell.alias("fell"))
+        new = written(moved.select(*keys, "now.*", "fell"), "step")
+        going = not new.where("fell").isEmpty()
         drop_written(params)
         drop_written(top)
-        params = new
+        params = new.drop("fell")
+        params._written_at = new._written_at
+        if not going:
+            break
     best = params.groupBy("g").agg(F.min(F.struct("det", "start", "m", "p")).alias("b")).select("g", "b.m", "b.p")
     n = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     return best.join(n, "g")

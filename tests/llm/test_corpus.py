@@ -92,6 +92,18 @@ def test_outliers_of_short_junk(spark):
     assert sum(not kept[i] for i in range(800)) <= 8
 
 
+def test_estimate_stops_where_no_step_lowers_the_determinant(spark):
+    x = np.random.default_rng(0).uniform(-1, 1, (6000, 4))
+    rows = spark.createDataFrame([("a", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double").cache()
+    e = quality_mcd.estimates(rows).first()
+    m, p = np.array(e["m"]), np.array(e["p"]).reshape(4, 4)
+    d = np.einsum("ni,ij,nj->n", x - m, p, x - m)
+    bins = np.floor(np.log2(np.maximum(d, 1e-9)) * quality_mcd.BINS)
+    inner = x[bins <= np.sort(bins)[int(np.ceil(quality_mcd.SHARE * len(x))) - 1]]
+    again = np.cov(inner.T, bias=True) * quality_mcd.CONSISTENCY + np.diag(np.square(quality_mcd.FLOORS))
+    assert np.linalg.det(again) >= (1 - 2e-6) / np.linalg.det(p)
+
+
 # --- op5 ---
 def test_language(spark, sf_dir, docs):
     out = language_id.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
