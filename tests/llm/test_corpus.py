@@ -193,6 +193,13 @@ def test_search_shards_agree(spark, docs):
     assert bm25_search.searched(odd.limit(0), odd.limit(0)).count() == 0
 
 
+def test_search_asks_every_text_of_a_doc_id(spark):
+    d = spark.createDataFrame([(20, "red fox"), (20, "blue whale"), (20, "red fox"), (1, "a red fox runs"), (2, "one blue whale")], "doc_id long, text string")
+    out = bm25_search.searched(d, d.where("doc_id = 20"), docs_per_shard=2).collect()
+    assert {r["doc_id"] for r in out} == {1, 2, 20}
+    assert sorted(r["rank"] for r in out) == [1, 1, 2, 2, 3]
+
+
 # --- op8 ---
 def plain_groups(rows, size):
     sets = {}
