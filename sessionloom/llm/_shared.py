@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (single-machine runs and tests).
@@ -50,3 +56,41 @@ def drop_written(df: DataFrame) -> None:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
+
+
+def parts_of(texts: pa.Array, most_chars: int) -> list[tuple[int, int]]:
+    """Ranges of rows of bounded text (one row at least)."""
+    piece = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // most_chars
+    cuts = np.r_[0, np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(piece)].tolist()
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Lets one operator at a time keep values in a reused Python worker: those of all others are given back."""
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    _HELD[name] = clear
+    if others:
+        give_back()
+
+
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path of a URI; Hadoop's names of stores that pyarrow knows by another are translated."""
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system, so that reused workers don't hold what earlier stages took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -8,6 +8,7 @@ structured inputs of great length weaken polynomials modulo a power of two.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,3 +136,181 @@ def slices(rows: int, offsets: np.ndarray, most_bytes: int = 2 << 20) -> list[tu
         out.append((at, to))
         at = to
     return out
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All indexes of the ranges starts[i]:ends[i], one range after the other."""
+    n = ends - starts
+    keep = n > 0
+    starts, n = starts[keep], n[keep]
+    if not len(n):
+        return np.zeros(0, np.int64)
+    step = np.ones(int(n.sum()), np.int64)
+    step[0] = starts[0]
+    step[np.cumsum(n)[:-1]] = starts[1:] - (starts[:-1] + n[:-1] - 1)
+    return np.cumsum(step)
+
+
+_SHORT_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(LONG, _P, np.uint64)])
+
+
+def _unit_hashes(d: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each unit, each byte's distance from its unit's start); the units are all of d."""
+    from_start = np.arange(len(d), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    h = mixed(np.add.reduceat(_TABLE[d] * _SHORT_POWERS[np.minimum(from_start, LONG)], starts) + sizes.astype(np.uint64))
+    for k in np.flatnonzero(sizes > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(d[starts[k] : starts[k] + sizes[k]].tobytes(), seed=7)
+    return h, from_start
+
+
+def _distinct(d: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash and a first unit of each distinct one, each unit's number among these), equal by bytes and not by hash alone."""
+    h, from_start = _unit_hashes(d, starts, sizes)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    twin = first[number]
+    if not ((sizes == sizes[twin]).all() and (d[np.repeat(starts[twin].astype(np.int32), sizes) + from_start] == d).all()):
+        seen: dict[bytes, int] = {}  # two units share a hash
+        raw = [d[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        number = np.array([seen.setdefault(r, len(seen)) for r in raw], np.int64)
+        first = np.unique(number, return_index=True)[1]
+    return h[first], first, number
+
+
+@dataclass
+class _Table:
+    """Units in ascending order of hash: where each one's bytes and ids stand in two flat arrays."""
+
+    h: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    data: np.ndarray
+    id_at: np.ndarray
+    n_ids: np.ndarray
+    ids: np.ndarray
+
+    def find(self, h: np.ndarray, d: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The place of each unit here, -1 where it is not; bytes are compared."""
+        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        hit = np.flatnonzero((self.h[k] == h) & (self.size[k] == sizes))
+        out = np.full(len(h), -1, np.int64)
+        if len(hit):
+            n, p = sizes[hit], k[hit]
+            same = d[spread(starts[hit], starts[hit] + n)] == self.data[spread(self.at[p], self.at[p] + n)]
+            good = np.logical_and.reduceat(same, np.r_[0, np.cumsum(n)[:-1]])
+            out[hit[good]] = p[good]
+        return out
+
+    def take(self, places: np.ndarray) -> _Table:
+        n, m = self.size[places], self.n_ids[places]
+        data, ids = self.data[spread(self.at[places], self.at[places] + n)], self.ids[spread(self.id_at[places], self.id_at[places] + m)]
+        return _Table(self.h[places], np.cumsum(n) - n, n, data, np.cumsum(m) - m, m, ids)
+
+    def merged(self, other: _Table) -> _Table:
+        h = np.r_[self.h, other.h]
+        by = np.argsort(h, kind="stable")
+        return _Table(
+            h[by], np.r_[self.at, other.at + len(self.data)][by], np.r_[self.size, other.size][by], np.r_[self.data, other.data],
+            np.r_[self.id_at, other.id_at + len(self.ids)][by], np.r_[self.n_ids, other.n_ids][by], np.r_[self.ids, other.ids],
+        )
+
+    def bytes(self) -> int:
+        return 40 * len(self.h) + len(self.data) + 4 * len(self.ids)
+
+
+class Kept:
+    """Ids of distinct units kept by a Python worker in flat arrays, two generations of half of most_bytes (and most) each.
+
+    When the young one is full it becomes the old one, and the former old one goes; what is used again
+    is copied to the young one. So frequent units stay and rare ones are forgotten.
+    """
+
+    def __init__(self, most_bytes: int, most: int = 1 << 62):
+        self.most_bytes, self.most = most_bytes, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: list[_Table] = []
+        self.old: list[_Table] = []
+
+    def _add(self, new: _Table) -> None:
+        if not len(new.h):
+            return
+        self.young.append(new)
+        while len(self.young) > 1 and len(self.young[-2].h) < 2 * len(self.young[-1].h):
+            last = self.young.pop()
+            self.young[-1] = self.young[-1].merged(last)
+
+    def ids(self, h: np.ndarray, d: np.ndarray, starts: np.ndarray, sizes: np.ndarray, make: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each distinct unit begin, how many they are); make gives those that are not kept."""
+        if sum(t.bytes() for t in self.young) > self.most_bytes // 2 or sum(len(t.h) for t in self.young) > self.most // 2:
+            self.old, self.young = self.young, []
+        left, flat, used = np.arange(len(h)), [], 0
+        at, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        again = []
+        for table, is_old in [*((t, False) for t in self.young), *((t, True) for t in self.old)]:
+            p = table.find(h[left], d, starts[left], sizes[left])
+            hit = p >= 0
+            if hit.any():
+                got = table.take(p[hit])
+                at[left[hit]], count[left[hit]] = used + got.id_at, got.n_ids
+                flat.append(got.ids)
+                used += len(got.ids)
+                left = left[~hit]
+                again += [got] if is_old else []
+        if len(left):
+            raw = d.tobytes()
+            n = sizes[left]
+            made = make([raw[a:b] for a, b in zip(starts[left].tolist(), (starts[left] + n).tolist(), strict=True)])
+            m = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            ids = np.frombuffer(b"".join(made), "<u4")
+            at[left], count[left] = used + np.cumsum(m) - m, m
+            flat.append(ids)
+            by = np.argsort(h[left], kind="stable")
+            again.append(_Table(h[left][by], (np.cumsum(n) - n)[by], n[by], d[spread(starts[left], starts[left] + n)], (np.cumsum(m) - m)[by], m[by], ids))
+        for t in again:
+            self._add(t if (t.h[1:] >= t.h[:-1]).all() else t.take(np.argsort(t.h, kind="stable")))
+        return (np.concatenate(flat) if flat else np.zeros(0, "<u4")), at, count
+
+
+def table_of(found: Callable[[str], bool]) -> np.ndarray:
+    """Which ASCII bytes a predicate takes; bytes of other characters are never marked."""
+    return np.array([b < 128 and bool(found(chr(b))) for b in range(256)])
+
+
+def gathered(
+    column: pa.Array, cuts: list[tuple[np.ndarray, np.ndarray]], whole: np.ndarray, kept: Kept, make: Callable[[list[bytes]], list[bytes]], most_bytes: int = 2 << 20
+) -> tuple[np.ndarray, np.ndarray]:
+    """(unsigned 32-bit ids of all rows, where each row's begin and end) by encoding distinct units only.
+
+    A row is cut into units between a byte marked in the left and one marked in the right table of any
+    of cuts; rows marked in whole are one unit each. Units are found and compared by array operations,
+    most_bytes at a time, so that Python objects are made only for units that are not kept.
+    """
+    data, offsets = utf8(column)
+    filled = offsets[1:] > offsets[:-1]
+    begins = np.zeros(len(data), bool)
+    for left, right in cuts:
+        begins[1:] |= left[data[:-1]] & right[data[1:]]
+    for k in np.flatnonzero(whole & filled).tolist():
+        begins[offsets[k] : offsets[k + 1]] = False
+    begins[offsets[:-1][filled]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.r_[starts[1:], len(data)].astype(np.int64)
+    first = np.searchsorted(starts, offsets, "left")
+    flat, counts, at = [], [], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + most_bytes, "right")))
+        low = int(starts[at])
+        d, s, n = data[low : int(ends[to - 1])], starts[at:to] - low, ends[at:to] - starts[at:to]
+        if to == at + 1 and n[0] > most_bytes:  # longer than what is kept
+            ids, id_at, m, number = np.frombuffer(make([d.tobytes()])[0], "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+            m[0] = len(ids)
+        else:
+            h, lead, number = _distinct(d, s, n)
+            ids, id_at, m = kept.ids(h, d, s[lead], n[lead], make)
+        a = id_at[number]
+        flat.append(ids[spread(a, a + m[number])])
+        counts.append(m[number])
+        at = to
+    sums = np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, np.int64)
+    return (np.concatenate(flat) if flat else np.zeros(0, "<u4")), sums[first]
