@@ -5,13 +5,14 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (single-machine runs and tests).
 LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -53,6 +54,22 @@ def drop_written(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """Each name, with as many underscores behind it as keep it from those taken (compared without case)."""
+    low, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame, names: Iterable[str] | None = None, alias: str = "") -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col(f"{alias}." * bool(alias) + "`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

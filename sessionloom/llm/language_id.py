@@ -13,24 +13,28 @@ path is proven to stay in one language.
 
 Defined results: `und` with score 0 for a null text or one without letters, or where nothing could be
 learned; ties go to the language first in code-point order; repeated rows get equal results; a null lang
-teaches nothing; other columns are never inputs; an empty table gives an empty result.
+teaches nothing; other columns are never inputs, and those named like the two new ones are replaced by
+them; an empty table gives an empty result; a very long text is labelled whole, with a byte kept for each
+word and language of those that need the search.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sessionloom.llm._shared import give_back, hold, parts_of
 from sessionloom.llm._words import mixed
 
 SAMPLE_DOCS = 400
@@ -38,7 +42,8 @@ SWITCH_COST = 14.0
 WORST = 6.0
 FOLDS, HELD_OUT = 3, 1
 _WORDS = re.compile(r"[^\W\d_]+").findall
-KEPT_WORDS = 400_000
+#: Words kept by a task, and characters of text labelled at once.
+KEPT_WORDS, PART_CHARS = 250_000, 1_000_000
 
 #: First and last code points of scripts.
 SCRIPTS = {
@@ -101,7 +106,6 @@ class Model:
     words: dict[str, int]
     word_table: np.ndarray
     scripts: dict[str, np.ndarray]
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """words x languages: 0 for the best and -WORST at least; all 0 if a word says nothing."""
@@ -213,27 +217,30 @@ def best_paths(scores: np.ndarray, first: np.ndarray, cost: float) -> np.ndarray
     at, size = first[hard], sizes[hard]
     steps = int(size[0])
     active = np.searchsorted(-size, -np.arange(steps), "left")  # documents longer than t
-    came = []
+    # The language before each word's, for every language of it: a byte or two each, documents one after the other.
+    base = np.r_[0, np.cumsum(size)[:-1]]
+    came = np.empty((int(size.sum()), langs), np.uint8 if langs < 256 else np.int16)
+    each, every = np.arange(len(hard)), np.arange(langs, dtype=came.dtype)
     v = np.zeros((len(hard), langs))
     for t in range(steps):
         a = int(active[t])
         v = v[:a]
-        top = v.argmax(axis=1).astype(np.int16)
-        over = v[np.arange(a), top][:, None] - cost
+        top = v.argmax(axis=1).astype(came.dtype)
+        over = v[each[:a], top][:, None] - cost
         stay = v >= over
-        came.append(np.where(stay, np.arange(langs, dtype=np.int16), top[:, None]))
+        came[base[:a] + t] = np.where(stay, every, top[:, None])
         v = np.where(stay, v, over) + scores[at[:a] + t]
         if t + 1 == steps or active[t + 1] < a:
             gone = int(active[t + 1]) if t + 1 < steps else 0
             out[at[gone:a] + t] = v[gone:].argmax(axis=1)
     for t in range(steps - 1, 0, -1):
         a = int(active[t])
-        out[at[:a] + t - 1] = came[t][np.arange(a), out[at[:a] + t]]
+        out[at[:a] + t - 1] = came[base[:a] + t, out[at[:a] + t]]
     return out
 
 
 class Labeller:
-    """Word scores of a model, kept per Python worker; emptied when full."""
+    """Word scores of a model, kept for one Python task; when full, only the present texts' words stay."""
 
     def __init__(self, model: Model, cost: float = SWITCH_COST):
         self.model, self.cost = model, cost
@@ -249,8 +256,9 @@ class Labeller:
         split = [_WORDS(t) if t else [] for t in texts]
         new = {w for ws in split for w in ws}.difference(self.ids)
         if len(self.ids) + len(new) > KEPT_WORDS:
-            self._empty()
-            new = {w for ws in split for w in ws}
+            now = sorted({w for ws in split for w in ws}.intersection(self.ids))
+            at = np.array([self.ids[w] for w in now], np.int64)
+            self.ids, self.rows, self.letters = dict(zip(now, range(len(now)), strict=True)), self.rows[at], self.letters[at]
         if new:
             new = sorted(new)
             self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
@@ -293,35 +301,35 @@ class Labeller:
         return out
 
 
-_LABELLERS: dict[str, Labeller] = {}
+def predicted(docs: DataFrame, model: Model, cost: float = SWITCH_COST, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (or the columns named in keep) with the predicted language and its score, from text alone.
 
+    names are those of the two new columns; columns of docs with these names are replaced. One pass over
+    the texts, and nothing stays in the worker when a task ends.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was learned from
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    places, at_text = [docs.columns.index(c) for c in kept], docs.columns.index("text")
 
-def predicted(docs: DataFrame, model: Model, cost: float = SWITCH_COST) -> DataFrame:
-    """docs with lang_pred and score, from text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language", lambda: None)
+        labeller = Labeller(shared.value, cost)
+        for whole in batches:
+            for a, b in parts_of(whole.column(at_text), PART_CHARS):
+                part = whole.slice(a, b - a)
+                langs, scores = zip(*labeller.predict([t or "" for t in part.column(at_text).to_pylist()]), strict=True)
+                made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), *made], [*kept, *names])
+        del labeller
+        give_back()
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model_, key = shared.value, f"{shared.value.key}-{cost}"
-        if key not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[key] = Labeller(model_, cost)
-        for texts in batches:
-            rows: list[tuple[str, float]] = []
-            sizes = texts.str.len().fillna(0).to_numpy()
-            piece = (np.cumsum(sizes) // 3_000_000).astype(int)
-            for _, part in texts.groupby(piece, sort=False):
-                rows += _LABELLERS[key].predict([t or "" for t in part.where(part.notna(), None)])
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
-
-    found = F.pandas_udf(run, "lang_pred string, score double")("text")
-    taken = {"lang_pred", "score"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"the input already has columns {sorted(taken)}")
-    return docs.withColumn("_found", found).select(*[F.col(f"`{c}`") for c in docs.columns], "_found.lang_pred", "_found.score")
+    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in places), *fields]))
 
 
 def identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns only from documents that are not held out."""
     slim = docs.select("doc_id", "text", "lang")
     model = learn(slim.where(~held_out(F.col("doc_id"))), sample_docs)
-    return predicted(slim.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
+    asked = slim.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return predicted(asked, model, keep=["doc_id", "held_out"])
