@@ -1,8 +1,8 @@
 """Operator 10: overlapping three-line windows, with DataFrame functions only.
 
 A line is what stands between line feeds; it takes part if it has a visible character once trimmed of
-white space. Every run of three such lines of a document is a window, known by a 64-bit hash of its
-trimmed lines. Windows found more than once anywhere keep their first occurrence (smallest doc_id, then
+white space. Every run of three such lines of a document is a window, known by two 64-bit hashes of its
+trimmed lines, which 1e12 windows share by chance with a probability below 1e-14. Windows found more than once anywhere keep their first occurrence (smallest doc_id, then
 text hash, then position); all later ones are removed by merging the lines that they cover.
 
 Only hashes and positions are shuffled for the search: first occurrences come from an aggregation that
@@ -12,7 +12,8 @@ a passage that a third of the documents share can be split over tasks.
 Defined results: a document is known by (doc_id, hash of its text), so rows repeated exactly count as one
 document and are treated alike; a null text stays null; documents of fewer than three lines that take
 part are left alone; lines without visible characters stay where they are; lines that repeat inside one
-document are later occurrences too; other columns pass through; an empty table gives an empty result.
+document are later occurrences too; other columns pass through, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm._shared import columns_of, unused, written
+
 SIZE = 3
 
 
@@ -35,13 +38,13 @@ def _trimmed(line: Column) -> Column:
 def windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """_id, _text_hash, at (position among lines that take part), hash: one row for each window."""
     kept = F.filter(F.transform(lines("text"), _trimmed), lambda x: F.length(x) > 0)
+    # Two hashes of a line from different starts; a window is known by both hashes of its lines.
+    pair = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(0x5EED), x).alias("b"))
     hashed = docs.where(F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash"), F.transform(kept, lambda x: F.xxhash64(x)).alias("_h")
-    )
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("_h") - (size - 1)),
-        lambda k: F.xxhash64(*[F.element_at("_h", (k + j).cast("int")) for j in range(size)]),
+        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash"), F.transform(kept, pair).alias("_h")
     )
+    of = lambda k, name: F.xxhash64(*[F.element_at("_h", (k + j).cast("int"))[name] for j in range(size)])
+    runs = F.transform(F.sequence(F.lit(1), F.size("_h") - (size - 1)), lambda k: F.struct(of(k, "a").alias("a"), of(k, "b").alias("b")))
     return hashed.where(F.size("_h") >= size).select("_id", "_text_hash", F.posexplode(runs).alias("at", "hash"))
 
 
@@ -53,9 +56,13 @@ def later_occurrences(found: DataFrame) -> DataFrame:
     return found.join(repeated, "hash").where(place > F.col("first")).select("_id", "_text_hash", "at")
 
 
-def deduplicated(docs: DataFrame, size: int = SIZE, counts: bool = False) -> DataFrame:
-    """docs with text without later occurrences; with counts also n_lines and n_removed (lines that take part)."""
-    later = later_occurrences(windows(docs, size)).groupBy("_id", "_text_hash").agg(F.collect_set("at").alias("_at"))
+def deduplicated(docs: DataFrame, size: int = SIZE, counts: bool | tuple[str, str] = False) -> DataFrame:
+    """docs with text without later occurrences; with counts also n_lines and n_removed (lines that take part).
+
+    counts may name these two columns; columns of docs with their names are replaced.
+    """
+    found = written(windows(docs.select("doc_id", "text"), size), "windows")
+    later = later_occurrences(found).groupBy("_id", "_text_hash").agg(F.collect_set("at").alias("_at"))
     both = docs.alias("d").join(
         later.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l._id")) & (F.xxhash64("d.text") == F.col("l._text_hash")), "left"
     )
@@ -79,7 +86,9 @@ def deduplicated(docs: DataFrame, size: int = SIZE, counts: bool = False) -> Dat
         ),
     )
     plain = F.col("d.text").isNull()
-    made = both.withColumn("_done", F.when(~plain, F.get(done, F.lit(0))))
-    out = [F.col("_done.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    more = [F.coalesce(F.col(f"_done.{c}"), F.lit(0)).alias(c) for c in ("n_lines", "n_removed")] if counts else []
-    return made.select(*out, *more)
+    names = ("n_lines", "n_removed") if counts is True else counts or ()
+    (made,) = unused([*docs.columns, *names, "_id", "_text_hash", "_at"], "_done")
+    every = both.withColumn(made, F.when(~plain, F.get(done, F.lit(0))))
+    out = [F.col(f"{made}.text").alias("text") if c == "text" else columns_of(docs, [c], "d")[0] for c in docs.columns if c not in names]
+    more = [F.coalesce(F.col(f"{made}.{c}"), F.lit(0)).alias(name) for c, name in zip(("n_lines", "n_removed"), names, strict=False)]
+    return every.select(*out, *more)

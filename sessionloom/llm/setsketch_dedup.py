@@ -4,7 +4,8 @@
    them, and REGISTERS registers: register i is floor(1 - log_b(x)) of the smallest of the shingles'
    exponential hashes x, truncated to [0, q + 1]. Registers of a union are the larger of both, and two
    sets agree in a register with a probability close to their Jaccard similarity.
-2. Documents with one digest form a class; its smallest doc_id stands for it from here on.
+2. Documents with one digest, size and text hash, so exact copies, form a class; its smallest doc_id stands for
+   it from here on. Other texts with the same set are linked like near copies, on their full sets.
 3. BANDS bands of ROWS registers put representatives into buckets. A pair at the threshold misses all
    bands with probability (1 - 0.8**ROWS)**BANDS, below 1e-6 here.
 4. Each bucket first links its members to one centre, the member that meets most others over all bands.
@@ -29,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.llm import _words
-from sessionloom.llm._shared import drop_written, written
+from sessionloom.llm._shared import columns_of, drop_written, hold, unused, written
 from sessionloom.llm.components import components
 
 ROWS, BANDS = 6, 48
@@ -48,6 +50,8 @@ SALT_ROWS = 256
 DENSE = 4
 GROUP_DOCS, GROUP_SHINGLES = 256, 1 << 18
 
+CLASS = ["d1", "d2", "n_shingles", "text_hash"]
+
 _SEEDS = _words.mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _ODD = _words.mixed(_SEEDS + np.uint64(5)) | np.uint64(1)
 
@@ -122,6 +126,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, d1, d2 (digest), regs of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("sketches", lambda: None)
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 b = whole.slice(k, 1024)
@@ -343,16 +348,17 @@ def _group_links(groups: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches of all documents, classes with their component): a class has first (its smallest doc_id and
+    text_hash) and low (the smallest first of its component)."""
     threshold = percent / 100
-    # All documents, with their class; a class is a node (doc) whose registers and smallest document stay with it.
-    node = F.xxhash64("d1", "d2", "n_shingles")
+    # A class is a node (doc) whose registers and smallest document stay with it. Its number is given, not
+    # hashed, so no two classes share one.
     sk = written(sketches(docs, size), "sketches")
-    ids = sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, node).alias("doc"))
-    filled = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).withColumn("doc", node)
+    filled = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     smallest = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    classes = written(filled.groupBy("doc").agg(smallest, F.max("n_shingles").alias("n"), F.max("regs").alias("regs")), "classes")
+    found = filled.groupBy(*CLASS).agg(smallest, F.max("n_shingles").alias("n"), F.max("regs").alias("regs"))
+    classes = written(found.withColumn("doc", F.monotonically_increasing_id()), "classes")
     reps = classes.select("doc", "n", "regs")
     buckets = written(_banded(reps), "buckets")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
@@ -381,14 +387,41 @@ def grouped(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     dense = written(_group_links(groups, _texts_of(groups.select(F.col("a").alias("doc")), where, texts), size, percent), "links")
     every = links.unionByName(more).unionByName(dense)
     final = written(components(every), "roots")
-    of_class = classes.select("doc", "first.doc_id").join(final, F.col("doc") == F.col("node"), "left").select("doc", "doc_id", F.coalesce("root", "doc").alias("root"))
-    low = of_class.groupBy("root").agg(F.min("doc_id").alias("_low"))
-    named = of_class.select("doc", "root").join(low, "root").select("doc", "_low")
-    out = ids.join(named, "doc", "left")
+    of_class = classes.select(*CLASS, "doc", "first").join(final, F.col("doc") == F.col("node"), "left").select(*CLASS, "first", F.coalesce("root", "doc").alias("root"))
+    lows = of_class.groupBy("root").agg(F.min("first").alias("low"))
+    return sk, of_class.join(lows, "root").select(*CLASS, "first", "low")
+
+
+def grouped(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    sk, named = _components(docs, size, percent)
+    out = sk.select("doc_id", *CLASS).join(named.select(*CLASS, F.col("low.doc_id").alias("_low")), CLASS, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_low", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near copies: of each component the rows of its smallest doc_id (then text hash) stay.
+
+    A row is judged by its doc_id and text. Rows that share both count as one, and the one with the
+    smallest hash of all columns stays. Rows without words or with a null doc_id are linked with nothing.
+    """
+    sk, named = _components(docs.select("doc_id", "text"), size, percent)
+    gone = sk.join(named, CLASS).where("doc_id IS NOT NULL").where(F.struct("doc_id", "text_hash") != F.col("low"))
+    key, seen, place, gone_id, gone_hash = unused(docs.columns, "_hash", "_seen", "_place", "_gone_id", "_gone_hash")
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(key) == F.col(gone_hash)), "left_anti")
+    often = sk.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash))
+    if often.isEmpty():
+        return kept.select(*columns_of(docs))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_hash))
+    told = kept.withColumn(seen, F.xxhash64(*columns_of(docs)))
+    first = F.row_number().over(W.partitionBy("doc_id", key).orderBy(seen))
+    once = told.join(often, same, "left_semi").withColumn(place, first).where(F.col(place) == 1)
+    return kept.join(often, same, "left_anti").select(*columns_of(docs)).unionByName(once.select(*columns_of(docs)))
+
+
 def _texts_of(nodes: DataFrame, where: DataFrame, texts: DataFrame) -> DataFrame:
     """doc, text of distinct classes (column doc), from the row of their smallest document."""
     named = nodes.distinct().join(where, "doc")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionloom.llm._shared import written
+from sessionloom.llm._shared import columns_of, unused, written
 
 BLOCK_WORDS = 16
 DOCS_PER_SHARD = 8192
@@ -86,7 +86,9 @@ def _bits(seed: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 31))
 
 
-def mixed(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, copies: bool = False) -> DataFrame:
+def mixed(
+    docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, copies: bool = False, keep_source: bool = False
+) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document; with copies, also how often to take it whole.
 
     Whole copies follow taken / size; the fractions are rounded systematically in order of size in each
@@ -141,7 +143,21 @@ def mixed(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, max_re
         draw = _bits(seed + 21, F.col("source"), F.col("_shard")) / float(1 << 31)
         out = out.withColumn("_part", F.round(part, 9)).withColumn("_run", run + draw)
         out = out.withColumn("copies", (F.floor(times) + F.floor("_run") - F.floor(F.col("_run") - F.col("_part"))).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", *(["copies"] if copies else []))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *(["copies"] if copies else []), *(["source"] if keep_source else []))
+
+
+def repeated(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """docs with each row as often as the mix takes it whole: 0 to MAX_REPEAT times.
+
+    Rows are known by doc_id, source and size; of rows that share these, each is taken as often as the one taken
+    most. Columns of any name pass through.
+    """
+    slim = docs.select("doc_id", "source", "text")
+    taken = mixed(slim, seed, copies=True, keep_source=True).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    key, source, size, times, copy = unused(docs.columns, "_key", "_source", "_size", "_times", "_copy")
+    taken = taken.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(times))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (words("text") == F.col(size))
+    return docs.join(taken, same).withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*columns_of(docs))
 
 
 def _coprime(seed: int) -> Column:
