@@ -34,7 +34,7 @@ def test_strip_and_words(spark):
 
 def test_sanitize(spark):
     text = "﻿<!-- c\nd -->a\r\n---\r\n<think>x\ny</think>b<tool-use q>z</tool-use>\n\n\n\n<command-name>/x</command-name> c\n***\n"
-    assert values(spark, [text, None, "---"], T.sanitize("t")) == ["a\nb\n\n c", "", ""]
+    assert values(spark, [text, None, "---"], T.sanitize("t")) == ["a\nb\n\n/x c", "", ""]
 
 
 def test_intents(spark):
