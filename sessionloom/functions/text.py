@@ -182,7 +182,7 @@ def action_label(prompt: str | Column, response: str | Column, has_code: str | C
     code_on, tool, n = _flag(has_code), _flag(has_tool), F.coalesce(_c(blocks), F.lit(0))
     code_chars = F.length(strip(code))
     body = strip(response)
-    chars = F.when(F.lower(body) == "nan", 0).otherwise(F.length(body))
+    chars = F.when(body == "nan", 0).otherwise(F.length(body))
     one = code_on & (n == 1)
     return (
         F.when(tool & (n == 0), "tool_only")

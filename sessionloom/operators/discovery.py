@@ -47,8 +47,9 @@ def signals(hits: DataFrame) -> DataFrame:
 
 
 def best_rows(hits: DataFrame, tie: str = "url") -> DataFrame:
-    """The hit with most stars of each repository; ties by the smallest tie column."""
-    one = hits.groupBy("full_name").agg(F.max_by(F.struct(*hits.columns), F.struct(F.coalesce(F.col("stars"), F.lit(-1)), (-F.col(tie)) if dict(hits.dtypes)[tie] in ("bigint", "int") else F.lit(0))).alias("r"))
+    """The hit with most stars of each repository; ties by the smallest tie column (null first)."""
+    place = F.struct((-F.coalesce(F.col("stars"), F.lit(-1))).alias("a"), F.col(tie).alias("b"))
+    one = hits.groupBy("full_name").agg(F.min_by(F.struct(*hits.columns), place).alias("r"))
     return one.select("r.*")
 
 

@@ -41,8 +41,8 @@ def hashed_encoder(dim: int = 64) -> Encoder:
     return encode
 
 
-def embedded(df: DataFrame, text: str = "prompt_text", encoder: Encoder | None = None, batch: int = 64) -> DataFrame:
-    """Adds embedding, array<float>."""
+def embedded(df: DataFrame, text: str = "prompt_text", encoder: Encoder | None = None, batch: int = 64, out: str = "embedding") -> DataFrame:
+    """Adds out, array<float>."""
     encode = encoder or hashed_encoder()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -53,7 +53,7 @@ def embedded(df: DataFrame, text: str = "prompt_text", encoder: Encoder | None =
                 rows += encode(texts[k : k + batch])
             yield pd.Series(rows)
 
-    return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))
+    return df.withColumn(out, F.pandas_udf(run, "array<float>")(text))
 
 
 def missing_from_cache(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:

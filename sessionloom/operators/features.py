@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,15 +65,22 @@ def with_repo_context(df: DataFrame, context: DataFrame, order: str = "row_id")
 
 
 def top_languages(df: DataFrame, most: int = 12, column: str = "repo_language") -> list[str]:
-    return [r[0] for r in stats.value_counts(df, column, most).collect()]
+    """The most frequent languages; null counts as unknown."""
+    known = df.select(F.coalesce(column, F.lit("unknown")).alias(column))
+    return [r[0] for r in stats.value_counts(known, column, most).collect()]
 
 
 def language_buckets(df: DataFrame, languages: list[str], column: str = "repo_language") -> DataFrame:
-    bucket = F.when(F.col(column).isin(languages), F.col(column)).otherwise("other")
+    known = F.coalesce(column, F.lit("unknown"))
+    bucket = F.when(known.isin(languages), known).otherwise("other")
     return one_hot(df.withColumn("language_bucket", bucket), "language_bucket", [*languages, "other"], "lang")
 
 
 def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
+    """One vector of numeric and vector columns; nulls become NaN. A vector's length is that of the first row."""
+    for c in [c for c in columns if df.schema[c].dataType.typeName() == "vectorudt"]:
+        row = df.where(F.col(c).isNotNull()).select(c).first()
+        df = VectorSizeHint(inputCol=c, size=row[0].size if row else 0, handleInvalid="optimistic").transform(df)
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(df)
 
 
@@ -105,14 +113,31 @@ def tfidf(term_counts: DataFrame, model: DataFrame, row_id: str, sublinear: bool
 
 
 def sparse_vectors(weights: DataFrame, model: DataFrame, row_id: str, out: str = "tfidf") -> DataFrame:
-    """One SparseVector a row, over the vocabulary in term order."""
-    from pyspark.ml.functions import array_to_vector
+    """One SparseVector a row that has a term, over the vocabulary in term order.
 
+    Terms are numbered in one task, for the vocabulary is bounded by tfidf_fit. Built-in functions make dense
+    vectors only, so the last step is a Python function of the row's own entries.
+    """
     size = model.count()
     numbered = model.select("term", (F.row_number().over(W.orderBy("term")) - 1).alias("i"))
-    pairs = weights.join(F.broadcast(numbered), "term").groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(0, size - 1))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return pairs.select(row_id, array_to_vector(dense).alias(out))
+    entries = F.array_sort(F.collect_list(F.struct("i", "weight")))
+    made = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
+    pairs = weights.join(numbered, "term").groupBy(row_id).agg(entries.alias("e"))
+    return pairs.select(row_id, made("e.i", "e.weight").alias(out))
+
+
+def with_tfidf(df: DataFrame, text: str, row_id: str, out: str = "tfidf", is_train: str = "NOT is_test", ngrams: int = 2, min_df: int = 2, most: int = 2000, stop: list[str] | None = None) -> DataFrame:
+    """df with a SparseVector of sublinear TF-IDF weights, fitted on the training rows; without terms it is empty."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
+    counts = terms(df, text, row_id, ngrams, stop)
+    train = df.where(is_train).select(row_id)
+    model = tfidf_fit(counts.join(train, row_id, "left_semi"), train.count(), min_df, most)
+    size = model.count()
+    found = sparse_vectors(tfidf(counts, model, row_id), model, row_id, "_found")
+    filled = F.udf(lambda v: v if v is not None else Vectors.sparse(size, [], []), VectorUDT())
+    return df.join(found, row_id, "left").withColumn(out, filled("_found")).drop("_found")
 
 
 def cluster_terms(term_weights: DataFrame, clusters: DataFrame, row_id: str, most: int = 8) -> DataFrame:

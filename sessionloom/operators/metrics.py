@@ -119,6 +119,29 @@ def paired(folds: DataFrame, a: str, b: str, value: str = "macro_f1", model: str
     return x.join(y, "fold").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_diff"), (F.avg(d) / F.nullif(F.stddev_samp(d), F.lit(0.0)) * F.sqrt(F.count(F.lit(1)))).alias("t"))
 
 
+def paired_tests(folds: DataFrame, comparisons: list[tuple[str, str]], value: str = "macro_f1", model: str = "logistic_regression") -> DataFrame:
+    """One row a comparison (a, b): n, mean of b less a, t and its p-value, Wilcoxon's p-value; error where folds don't match.
+
+    Reads one number a fold, so the tests run on the driver.
+    """
+    spark, rows = folds.sparkSession, []
+    found: dict[str, dict[int, float]] = {}
+    for r in folds.where(F.col("model") == model).select("representation", "fold", value).collect():
+        found.setdefault(r[0], {})[r[1]] = r[2]
+    for a, b in comparisons:
+        x, y = found.get(a, {}), found.get(b, {})
+        if not x or x.keys() != y.keys():
+            rows.append((a, b, model, None, None, None, None, None, f"unmatched fold counts ({len(x)} vs {len(y)})"))
+            continue
+        d = [y[f] - x[f] for f in sorted(x)]
+        n, mean = len(d), sum(d) / len(d)
+        sd = math.sqrt(sum((v - mean) ** 2 for v in d) / (n - 1)) if n > 1 else 0.0
+        t = mean / sd * math.sqrt(n) if sd > 0 else None
+        rows.append((a, b, model, n, mean, t, None if t is None else t_p_value(t, n - 1), wilcoxon_p_value(d), None))
+    kinds = "rep_a string, rep_b string, model string, n long, mean_diff double, t double, t_p_value double, wilcoxon_p_value double, error string"
+    return spark.createDataFrame(rows, kinds)
+
+
 def t_p_value(t: float, df: int) -> float:
     """Two-sided p of Student's t, by Simpson's rule on the density over [0, |t|]."""
     c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)

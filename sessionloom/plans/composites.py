@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
-from sessionloom.functions import vocab as V
 from sessionloom.functions.text import CleaningConfig
 from sessionloom.operators import cleaning, discovery, external, features, metrics, ml, sessions, splits, stats, transcripts
 
@@ -66,28 +65,54 @@ def analyse(df: DataFrame, config: AnalysisConfig | None = None) -> dict[str, Da
     }
 
 
-def predict_actions(df: DataFrame, context: DataFrame | None = None, label: str = "action_type", folds: int = 3, models: list[str] | None = None, encoder: external.Encoder | None = None) -> dict[str, DataFrame]:
-    """Repository-held-out prediction of the agent's action from prompt, history and repository."""
+def predict_actions(
+    df: DataFrame, context: DataFrame | None = None, label: str = "action_type", folds: int = 3, models: list[str] | None = None, encoder: external.Encoder | None = None,
+    context_turns: int = 2, row_id: str = "row_id", only: list[str] | None = None,
+) -> dict[str, DataFrame]:
+    """Repository-held-out prediction of the agent's action from prompt, metadata, history, repository and earlier turns.
+
+    Representations: tfidf, the prompt's embedding alone and with metadata, previous action, history, both, and (with
+    context) the repository; context_text_n with the n turns before. only limits them by name.
+    """
     rows = df.where(F.col(label).isNotNull() & (F.col(label) != ""))
     rows = features.with_repo_context(rows, context) if context is not None else rows
     rows = features.history(features.metadata_columns(rows.withColumns(T.linguistics("prompt_text")), features.CONTEXT))
     rows = splits.group_split(external.embedded(rows, "prompt_text", encoder))
     previous = [c for c in rows.columns if c.startswith("prev_") and c not in ("prev_action_type", "prev_turn_had_code", "prev_turn_had_tools")]
-    numbers = features.metadata_columns(rows, ["char_len", "word_len", "line_count"])
-    rows = features.assembled(ml.vectors(numbers, "embedding", "prompt_only"), ["prompt_only", "char_len", "word_len", "line_count", *features.HISTORY, *previous, *features.CONTEXT], "everything").cache()
-    sets = {"prompt_only": "prompt_only", "everything": "everything"}
-    results = None
-    for name, column in sets.items():
-        part = ml.trained(rows, label, column, models).select(F.lit(name).alias("representation"), "*")
-        results = part if results is None else results.unionByName(part)
-    test = rows.where("is_test")
-    base = metrics.majority(test, label).select(F.lit("majority").alias("baseline"), "accuracy")
-    rule = metrics.multiclass(test.withColumn("_p", T.prompt_rule("prompt_text")), label, "_p").select(F.lit("keyword_rule").alias("baseline"), "accuracy")
-    cv = ml.cross_validated(splits.group_folds(rows, folds), label, sets, ["logistic_regression"])
-    return {
-        "results": results, "baselines": base.unionByName(rule), "overlap": splits.overlap_report(rows), "cross_validation": cv, "cv_summary": metrics.cv_summary(cv),
-        "significance": metrics.paired(cv, "everything", "prompt_only"), "best": results.agg(F.max_by(F.struct("representation", "model", "macro_f1"), "macro_f1").alias("b")).select("b.*"),
+    metadata, past = ["char_len", "word_len", "line_count"], [*features.HISTORY, *previous]
+    rows = ml.vectors(features.metadata_columns(rows, metadata), "embedding", "prompt_only")
+    sets = {
+        "tfidf": None, "prompt_only": [], "prompt+metadata": metadata, "prompt+previous_action": previous, "prompt+history": past, "prompt+metadata+history": [*metadata, *past],
+        **({"prompt+metadata+history+repository": [*metadata, *past, *features.CONTEXT]} if context is not None else {}), **{f"context_text_n{n}": None for n in range(1, context_turns + 1)},
     }
+    sets = {k: v for k, v in sets.items() if only is None or k in only}
+    columns = {}
+    for k, (name, extra) in enumerate(sets.items()):
+        columns[name] = "prompt_only" if extra == [] else f"set_{k}"
+        if name == "tfidf":
+            rows = features.with_tfidf(rows, "prompt_text", row_id, columns[name])
+        elif name.startswith("context_text_n"):
+            turns = sessions.prior_turns_text(rows, int(name.removeprefix("context_text_n")), row_id)
+            rows = ml.vectors(external.embedded(turns, "context_text", encoder, out=f"_e{k}"), f"_e{k}", columns[name]).drop(f"_e{k}", "context_text")
+        elif extra:
+            rows = features.assembled(rows, ["prompt_only", *extra], columns[name])
+    rows = rows.cache()
+    try:
+        results = None
+        for name, column in columns.items():
+            part = ml.trained(rows, label, column, models).select(F.lit(name).alias("representation"), "*")
+            results = part if results is None else results.unionByName(part)
+        test = rows.where("is_test")
+        base = metrics.majority(test, label).select(F.lit("majority").alias("baseline"), "accuracy")
+        rule = metrics.multiclass(test.withColumn("_p", T.prompt_rule("prompt_text")), label, "_p").select(F.lit("keyword_rule").alias("baseline"), "accuracy")
+        cv = ml.cross_validated(splits.group_folds(rows, folds), label, columns, ["logistic_regression"])
+        pairs = [("prompt_only", name) for name in columns if name != "prompt_only"]
+        return {
+            "results": results, "baselines": base.unionByName(rule), "overlap": splits.overlap_report(rows), "cross_validation": cv, "cv_summary": metrics.cv_summary(cv),
+            "significance": metrics.paired_tests(cv, pairs), "best": results.agg(F.max_by(F.struct("representation", "model", "macro_f1"), "macro_f1").alias("b")).select("b.*"),
+        }
+    finally:
+        rows.unpersist()
 
 
 def research(df: DataFrame, label: str = "primary_intent", least: int = 5, models: list[str] | None = None) -> dict[str, DataFrame]:
@@ -128,5 +153,3 @@ def label_with_model(df: DataFrame, labeller: external.Labeller | None = None, c
         "agreement": metrics.agreement_by_class(rows, "action_type", "llm_action_type"), "review": external.review_sheet(rows),
     }
 
-
-LABELS = V.ACTIONS

@@ -62,11 +62,13 @@ def write_csv(df: DataFrame, path: str, bom: bool = True, quote_all: bool = True
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A bounded result table as Markdown, doubles to four places."""
-    rows = df.limit(most).collect()
+    """A result table as Markdown, doubles to four places; a longer table's first rows, and a line that says so."""
+    rows = df.limit(most + 1).collect()
+    note = f"\n{most} of {df.count()} rows; the table itself holds them all.\n" if len(rows) > most else ""
+    rows = rows[:most]
     cell = lambda v: f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]]) + "\n"
+    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]]) + "\n" + note
 
 
 def write_results(df: DataFrame, folder: str) -> None:
