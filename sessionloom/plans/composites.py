@@ -105,10 +105,13 @@ def predict_actions(
         test = rows.where("is_test")
         base = metrics.majority(test, label).select(F.lit("majority").alias("baseline"), "accuracy")
         rule = metrics.multiclass(test.withColumn("_p", T.prompt_rule("prompt_text")), label, "_p").select(F.lit("keyword_rule").alias("baseline"), "accuracy")
-        cv = ml.cross_validated(splits.group_folds(rows, folds), label, columns, ["logistic_regression"])
+        # One row a model, fold or baseline: settled here, so that the cached rows can go.
+        settled = lambda d: d.sparkSession.createDataFrame(d.collect(), d.schema)
+        results, baselines, overlap = settled(results), settled(base.unionByName(rule)), settled(splits.overlap_report(rows))
+        cv = settled(ml.cross_validated(splits.group_folds(rows, folds), label, columns, ["logistic_regression"]))
         pairs = [("prompt_only", name) for name in columns if name != "prompt_only"]
         return {
-            "results": results, "baselines": base.unionByName(rule), "overlap": splits.overlap_report(rows), "cross_validation": cv, "cv_summary": metrics.cv_summary(cv),
+            "results": results, "baselines": baselines, "overlap": overlap, "cross_validation": cv, "cv_summary": metrics.cv_summary(cv),
             "significance": metrics.paired_tests(cv, pairs), "best": results.agg(F.max_by(F.struct("representation", "model", "macro_f1"), "macro_f1").alias("b")).select("b.*"),
         }
     finally:
