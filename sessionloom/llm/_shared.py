@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         os.makedirs(LOCAL_FALLBACK, exist_ok=True)
         spark.sparkContext.setCheckpointDir(LOCAL_FALLBACK)
         found = f"file://{LOCAL_FALLBACK}"
@@ -101,7 +103,7 @@ _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system and path of a URI; Hadoop's names of stores that pyarrow knows by another are translated."""
     scheme, _, rest = uri.partition("://")
-    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES[scheme]}://{rest}" if scheme in _SCHEMES else uri)
 
 
 def give_back() -> None:

@@ -115,15 +115,15 @@ WITH w AS (
 ), df AS (
   SELECT term, count(*) AS df FROM tf GROUP BY term
 ), q AS (
-  SELECT doc_id AS query_id, term, round_even(1024 * n * ln(1 + (docs - df + 0.5) / (df + 0.5)), 0) AS weight FROM tf JOIN df USING (term), g WHERE doc_id % 20 = 0
+  SELECT doc_id AS query_id, term, n * ln(1 + (docs - df + 0.5) / (df + 0.5)) AS weight FROM tf JOIN df USING (term), g WHERE doc_id % 20 = 0
 ), p AS (
-  SELECT doc_id, term, round_even(1024 * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25 + 0.75 * size / mean_size)), 0) AS impact FROM tf JOIN dl USING (doc_id), g
+  SELECT doc_id, term, n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25 + 0.75 * size / mean_size)) AS impact FROM tf JOIN dl USING (doc_id), g
 ), s AS (
-  SELECT query_id, doc_id, sum(weight * impact) AS raw FROM q JOIN p USING (term) GROUP BY ALL
+  SELECT query_id, doc_id, round(sum(weight * impact), 6) AS score FROM q JOIN p USING (term) GROUP BY ALL
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM s WHERE raw > 0
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0
 )
-SELECT query_id, rank, doc_id, raw / 1048576.0::DOUBLE AS score FROM r WHERE rank <= 10
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
