@@ -72,6 +72,11 @@ def columns_of(df: DataFrame, names: Iterable[str] | None = None, alias: str = "
     return [F.col(f"{alias}." * bool(alias) + "`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by place, for functions of batches, which can't resolve names with dots."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.llm._shared import give_back, hold, parts_of
+from sessionloom.llm._shared import give_back, hold, numbered, parts_of
 from sessionloom.llm._words import mixed
 
 SAMPLE_DOCS = 400
@@ -324,7 +324,7 @@ def predicted(docs: DataFrame, model: Model, cost: float = SWITCH_COST, keep: li
         give_back()
 
     fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in places), *fields]))
+    return numbered(docs).mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in places), *fields]))
 
 
 def identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

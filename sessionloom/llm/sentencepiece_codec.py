@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sessionloom.llm._shared import hold, parts_of
+from sessionloom.llm._shared import hold, numbered, parts_of
 from sessionloom.llm._words import Kept, gathered, table_of
 
 MARK = "▁"
@@ -274,7 +274,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), made], [*(docs_names[k] for k in kept), ids])
 
     docs_names = docs.columns
-    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return numbered(docs).mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def digests(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
