@@ -12,6 +12,7 @@ from sessionloom.functions import text as T
 from sessionloom.functions import vocab as V
 from sessionloom.operators import stats
 
+#: Column names of the feature groups.
 METADATA = ["char_len", "word_len", "line_count", "intent_count", "repo_prompt_count", "repo_median_words"]
 HISTORY = ["turns_before", "prev_turn_had_code", "prev_turn_had_tools", "session_code_rate_before"]
 CONTEXT = ["repo_stars", "repo_forks", "repo_size_kb", "repo_open_issues", "repo_age_months"]

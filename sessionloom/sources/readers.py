@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sessionloom.functions import text as X
 
-#: Derived columns that are dropped at load, so that they are computed anew.
+#: Derived columns that are dropped at load, so that they are computed anew, and defaults of missing ones.
 STALE = [
     "cluster", "umap_x", "umap_y", "char_len", "word_len", "line_count", "has_question", "has_code_mention", "starts_imperative",
     "intent_debug_fix", "intent_implement", "intent_refactor", "intent_explain", "intent_test", "intent_documentation", "intent_review", "intent_configure",
