@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm._shared import new_folder
+from sessionloom.llm._shared import columns_of, new_folder, unused
 
 _MAGIC = b"URLD0001"
 
@@ -107,13 +107,17 @@ _OPEN: dict[str, Digests] = {}
 _SENT: set[tuple[str, str]] = set()
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict."""
+def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url: str = "url", replace: bool = False) -> DataFrame:
+    """pages with host, path, rule and verdict.
+
+    Columns of pages with these names raise an error, or are replaced with replace; others pass through.
+    """
     spark = pages.sparkSession
     name = distribute(spark, rules)
     taken = {"host", "path", "rule", "verdict"} & set(pages.columns)
-    if taken:
+    if taken and not replace:
         raise ValueError(f"the input already has columns {sorted(taken)}")
+    pages = pages.drop(*taken)
     # A-Z only: translate() leaves other letters alone.
     rest = F.expr(f"IF(instr(`{url}`, '://') > 0, substring(`{url}`, instr(`{url}`, '://') + 3), '')")
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -129,7 +133,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url:
             yield pd.DataFrame({"rule": [f and f[0] for f in found], "verdict": [f[1] if f else default for f in found]})
 
     found = F.pandas_udf(look, "rule string, verdict string")("host", "path")
-    return split.withColumn("_found", found).select(*split.columns, "_found.rule", "_found.verdict")
+    (both,) = unused(split.columns, "_found")
+    return split.withColumn(both, found).select(*columns_of(split), f"{both}.rule", f"{both}.verdict")
 
 
 def distribute(spark: SparkSession, rules: Sequence[Rule]) -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import language_id, quality_mcd, queries, sentencepiece_codec, source_mix
+from sessionloom.llm import language_id, quality_mcd, queries, sentencepiece_codec, source_mix, url_filter
 
 CLASHES = ["score", "lang_pred", "_found", "n_removed", "n_lines", "_done", "_id", "_text_hash", "_at", "_times", "_copy", "_hash", "_seen", "_place", "_gone_id", "_gone_hash", "_key", "_source", "_size", "copies", "size", "a.b"]
 LINES = "\n".join(f"the house number {i} of that street is old and grey" for i in range(6))
@@ -120,3 +120,12 @@ def test_base_rules(spark):
     got = {r["doc_id"]: r for r in quality_mcd.judged(df).collect()}
     assert [got[i]["base_failed"] for i in range(5)] == [False, True, False, True, True]
     assert [got[i]["n_repeat_words"] for i in range(4)] == [0, 0, 16, 16] and not any(got[i]["kept"] for i in (1, 3, 4))
+
+
+def test_url_verdicts_beside_columns_of_any_name(spark):
+    rows = [(1, "http://x.net/es/a", "f", "h", "d"), (1, "http://x.net/es/a", "f", "h", "d"), (2, None, "f", "h", "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _found string, host string, `a.b` string")
+    out = url_filter.judge(pages, queries.URL_RULES, replace=True)
+    got = sorted((r["page_id"], r["_found"], r["host"], r["a.b"], r["rule"], r["verdict"]) for r in out.collect() if r["url"])
+    assert got == [(1, "f", "x.net", "d", "net/es/", "block")] * 2
+    assert out.where("url IS NULL").select("host", "rule", "verdict").collect() == [("", None, "allow")]
