@@ -163,12 +163,17 @@ def intents(c: str | Column) -> dict[str, Column]:
 
 def prompt_type(c: str | Column) -> Column:
     t = F.lower(strip(c))
-    n = {k: F.regexp_count(t, F.lit(f"(?iU){p}")) for k, p in V.PROMPT_TYPES.items()}
-    most = F.greatest(*n.values())
-    out = F.when(n["question"] > 0, "question")
-    for k, x in n.items():
-        out = out.when((x == most) & (most > 0), k)
-    return out.otherwise("other")
+    counts = F.array(*[F.regexp_count(t, F.lit(f"(?iU){p}")) for p in V.PROMPT_TYPES.values()])
+
+    def kind(n: Column) -> Column:
+        most = F.array_max(n)
+        out = F.when(n[list(V.PROMPT_TYPES).index("question")] > 0, "question")
+        for i, k in enumerate(V.PROMPT_TYPES):
+            out = out.when((n[i] == most) & (most > 0), k)
+        return out.otherwise("other")
+
+    # Bound to a variable, so that each pattern runs once a text.
+    return F.transform(F.array(counts), kind)[0]
 
 
 def _flag(c: str | Column) -> Column:

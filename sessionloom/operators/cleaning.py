@@ -34,12 +34,14 @@ def judged(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFram
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key; one min_by per key, so rows are combined before the shuffle.
+    """The first row of each key; one min a key, so rows are combined before the shuffle.
 
-    A row is known by its order columns, which must be unique.
+    A row is known by its order columns, which must be unique. Texts are compared by their SHA-256, so that
+    32 bytes a key are shuffled and not the texts; nulls equal each other.
     """
     place = F.struct(*order)
-    firsts = df.groupBy(*keys).agg(F.min(place).alias("_first"))
+    key = lambda c: F.unhex(F.sha2(F.col(c), 256)) if df.schema[c].dataType.typeName() == "string" else F.col(c)
+    firsts = df.groupBy(*[key(c).alias(f"_key{i}") for i, c in enumerate(keys)]).agg(F.min(place).alias("_first"))
     return df.withColumn("_place", place).join(firsts.select("_first"), F.col("_place") == F.col("_first"), "left_semi").drop("_place")
 
 
@@ -79,9 +81,15 @@ def repo_cap(df: DataFrame, cap: int, repo: str = "full_name", row_id: str = "ro
     return df.join(chosen.select(row_id), row_id, "left_semi")
 
 
-def clean(df: DataFrame, config: CleaningConfig = CleaningConfig(), row_id: str = "row_id") -> Cleaned:
-    """The whole cleaning: kept rows with text metrics, dropped rows with reasons, a one-row report."""
+def clean(df: DataFrame, config: CleaningConfig = CleaningConfig(), row_id: str = "row_id", folder: str | None = None) -> Cleaned:
+    """The whole cleaning: kept rows with text metrics, dropped rows with reasons, a one-row report.
+
+    With a folder, judged rows are written there once and every result reads them; without, each judges anew.
+    """
     all_rows = judged(df, config)
+    if folder:
+        all_rows.write.mode("overwrite").parquet(folder)
+        all_rows = df.sparkSession.read.schema(all_rows.schema).parquet(folder)
     dropped = all_rows.where(F.col("_drop_reason").isNotNull())
     passed = all_rows.where(F.col("_drop_reason").isNull()).drop("_drop_reason")
     distinct = keep_first(passed, list(config.dedupe_columns), [row_id]) if config.drop_duplicates else passed

@@ -26,10 +26,10 @@ def normalised(hits: DataFrame, today: Column | None = None) -> DataFrame:
     )
 
 
-def commits(raw: DataFrame) -> DataFrame:
-    """sha, date, message (first line, 75 characters) and ai_flag of raw (sha, date, message)."""
+def commits(raw: DataFrame, *keep: str) -> DataFrame:
+    """sha, date, message (first line, 75 characters) and ai_flag of raw (sha, date, message), behind the columns to keep."""
     return raw.select(
-        F.substring("sha", 1, 7).alias("sha"), F.substring("date", 1, 10).alias("date"),
+        *keep, F.substring("sha", 1, 7).alias("sha"), F.substring("date", 1, 10).alias("date"),
         F.substring(F.element_at(F.split(T.text("message"), "\n"), 1), 1, 75).alias("message"), T.commit_flag("message").alias("ai_flag"),
     )
 

@@ -135,6 +135,19 @@ def distribution(df: DataFrame, label: str, name: str | None = None) -> DataFram
     return n.select(F.lit(name or label).alias("label"), "class", "n", (100 * F.col("n") / F.sum("n").over(W.partitionBy())).alias("pct"))
 
 
+def label_audit(df: DataFrame, row_id: str = "row_id", *keep: str) -> DataFrame:
+    """row_id, full_name, flags, audit_category and a preview of 200 characters on one line, behind it the columns to keep."""
+    return df.select(
+        row_id, "full_name", T.audit_flags("prompt_text").alias("flags"), T.audit_category("prompt_text", "has_generated_code").alias("audit_category"),
+        F.translate(F.substring(T.text("prompt_text"), 1, 200), "\n", " ").alias("prompt_preview"), *keep,
+    )
+
+
+def label_audit_top(audit: DataFrame, most: int = 50, row_id: str = "row_id") -> DataFrame:
+    """The first inconsistent rows, a report of most rows."""
+    return audit.where("audit_category <> 'consistent'").orderBy(row_id).limit(most)
+
+
 def imbalance(df: DataFrame, label: str, few: int = 30) -> DataFrame:
     """One row: classes, majority share, classes of fewer than few rows, entropy."""
     p = F.col("pct") / 100

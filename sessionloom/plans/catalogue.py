@@ -38,9 +38,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def on_prompts(f: Callable[[DataFrame], DataFrame], sql: str | None, name: str) -> None:
-    """Queries without sql read every document whole; an oracle holds the others to v_prompts."""
-    view = views.prompts if sql else views.whole_prompts
-    query(sql, name)(lambda s, d: f(view(s, d)))
+    """Queries over every document and its whole text; sql reads the same from v_prompts."""
+    query(sql, name)(lambda s, d: f(views.prompts(s, d)))
 
 
 # SQL spellings shared by the oracles.
@@ -48,16 +47,16 @@ def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
-def _rx(pattern: str, c: str = "prompt_text") -> str:
+def _rx(pattern: str, c: str = "plain") -> str:
     return f"regexp_matches({c}, '(?i){_q(pattern)}')"
 
 
 def _strip(c: str) -> str:
-    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({c}, '^{views.WHITE_SQL}+|{views.WHITE_SQL}+$', '', 'g')"
 
 
 def _words(c: str = "prompt_text") -> str:
-    return rf"CASE WHEN length({_strip(c)}) = 0 THEN 0 ELSE len(string_split_regex({_strip(c)}, '\s+')) END"
+    return rf"CASE WHEN length({_strip(c)}) = 0 THEN 0 ELSE len(string_split_regex({_strip(c)}, '{views.WHITE_SQL}+')) END"
 
 
 def _r(c: Column | str, n: int = 6) -> Column:
@@ -104,11 +103,11 @@ def discovery_summary(s, d):
     return discovery.summary(composites.discover(views.hits(s, d), "hit").candidates)
 
 
-@query("""SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS sha, substr(string_split(text, chr(10))[1], 1, 75) AS message,
-  """ + " OR ".join(f"contains(lower(text), '{w}')" for w in V.COMMIT_WORDS) + " AS ai_flag FROM documents WHERE text IS NOT NULL")
+@query("""SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS sha, substr(string_split(coalesce(text, ''), chr(10))[1], 1, 75) AS message,
+  """ + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in V.COMMIT_WORDS) + " AS ai_flag FROM documents")
 def commit_keyword_flag(s, d):
-    raw = views.table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("sha"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.col("text").alias("message"))
-    return raw.select("doc_id", F.substring("sha", 1, 7).alias("sha"), F.substring(F.element_at(F.split("message", "\n"), 1), 1, 75).alias("message"), T.commit_flag("message").alias("ai_flag"))
+    raw = views.table(s, d, "documents").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("sha"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.col("text").alias("message"))
+    return discovery.commits(raw, "doc_id").drop("date")
 
 
 @query("""SELECT c_custkey, c_custkey % 500 AS stars, round(date_diff('day', TIMESTAMP '2020-01-01' + to_days(CAST(c_custkey % 900 AS INTEGER)), TIMESTAMP '2024-01-01') / 30.0::DOUBLE, 1) AS age_months,
@@ -129,21 +128,22 @@ def repo_hit_normalise(s, d):
 # --- text ------------------------------------------------------------------------------------------
 _MARKED = "concat('<!-- a', chr(10), 'b -->', chr(13), chr(10), '<think>x</think>', prompt_text, chr(10), chr(10), chr(10), chr(10), '---', chr(10), '<command-name>/c</command-name>', CASE WHEN row_id % 2 = 0 THEN '<tool-use a=\"1\">z</tool-use> end' ELSE ' end ' END)"
 _SANITIZE_SQL = (
-    r"regexp_replace(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(m, chr(13) || chr(10), chr(10)), chr(13), chr(10)), "
-    r"'(?s)<!--.*?-->', '', 'g'), '(?si)<think\b.*?</think>', '', 'g'), '(?si)<tool-use\b.*?</tool-use>', '', 'g'), '(?i)</?(?:command-name|command-message|command-args|local-command-\w+)[^>]*>', '', 'g'), chr(10)), "
-    r"lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') NOT IN ('---', '***', '___')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    r"regexp_replace(regexp_replace(array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(m, chr(13) || chr(10), chr(10)), chr(13), chr(10)), "
+    r"'(?s)<!--.*?-->', '', 'g'), '(?si)<think\b.*?</think>', '', 'g'), '(?si)<tool-use\b.*?</tool-use>', '', 'g'), '(?i)</?(?:command-name|command-message|command-args|local-command-\w+)[^>]*>', '', 'g'), '[\x0A-\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), "
+    rf"lambda x: {_strip('x')} NOT IN ('---', '***', '___')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{views.WHITE_SQL}+|{views.WHITE_SQL}+$', '', 'g')"
 )
 on_prompts(lambda p: p.select("row_id", T.sanitize(F.expr(_MARKED)).alias("clean")), f"WITH x AS (SELECT row_id, {_MARKED} AS m FROM v_prompts) SELECT row_id, {_SANITIZE_SQL} AS clean FROM x", "sanitize_text")
 
-_ACK_SQL = f"regexp_matches({_strip(f'''regexp_replace(regexp_replace(t, '(?i){_q(V.ACK_LEAD)}', ''), '(?i){_q(V.ACK_TRAIL)}', '', 'g')''')}, '(?i){_q(V.ACK_CORE)}')"
-_IDE_SQL = f"(starts_with(t, '[{{') AND ({' + '.join(f'CAST(contains(t, {chr(39)}{m}{chr(39)}) AS INT)' for m in V.IDE_MARKERS)}) >= 3)"
-_PATH_SQL = f"({_rx(V.PATH_START, 't')} AND length({_strip(f'''regexp_replace(t, '(?i){_q(V.PATHS)}', ' ', 'g')''')}) < 12)"
+_ACK_SQL = f"regexp_matches({_strip(f'''regexp_replace(regexp_replace(tp, '(?i){_q(V.ACK_LEAD)}', ''), '(?i){_q(V.ACK_TRAIL)}', '', 'g')''')}, '(?i){_q(V.ACK_CORE)}')"
+_IDE_SQL = f"(starts_with(tp, '[{{') AND ({' + '.join(f'CAST(contains(tp, {chr(39)}{m}{chr(39)}) AS INT)' for m in V.IDE_MARKERS)}) >= 3)"
+_PATH_SQL = f"({_rx(V.PATH_START, 'tp')} AND length({_strip(f'''regexp_replace(tp, '(?i){_q(V.PATHS)}', ' ', 'g')''')}) < 12)"
 _NOISE_SQL = (
-    f"CASE WHEN length(t) = 0 THEN 'empty' WHEN {_ACK_SQL} THEN 'acknowledgment' WHEN {_IDE_SQL} THEN 'ide_diagnostic_dump' WHEN {_PATH_SQL} THEN 'path_only_prompt' "
-    + " ".join(f"WHEN {_rx(p, 't')} THEN '{k}'" for k, p in V.NOISE)
-    + f" WHEN length(t) > 8000 THEN 'too_long' WHEN length(t) < 25 OR {_words('t')} < 4 THEN 'too_short' END"
+    f"CASE WHEN length(tp) = 0 THEN 'empty' WHEN {_ACK_SQL} THEN 'acknowledgment' WHEN {_IDE_SQL} THEN 'ide_diagnostic_dump' WHEN {_PATH_SQL} THEN 'path_only_prompt' "
+    + " ".join(f"WHEN {_rx(p, 'tp')} THEN '{k}'" for k, p in V.NOISE)
+    + rf" WHEN length(tp) > 8000 THEN 'too_long' WHEN regexp_matches(t, '{V.CJK}') THEN CASE WHEN length(tp) < 18 OR len(regexp_extract_all(t, '{V.HAN}')) < 8 THEN 'too_short' END"
+    + f" WHEN length(tp) < 25 OR {_words('tp')} < 4 THEN 'too_short' END"
 )
-_T = f"WITH x AS (SELECT *, {_strip('prompt_text')} AS t FROM v_prompts) "
+_T = f"WITH x AS (SELECT *, {_strip('prompt_text')} AS t, {_strip('plain')} AS tp FROM v_prompts) "
 on_prompts(lambda p: p.select("row_id", T.noise_reason("prompt_text").alias("reason")), f"{_T} SELECT row_id, {_NOISE_SQL} AS reason FROM x", "noise_reason")
 on_prompts(lambda p: p.select("row_id", T.is_acknowledgment(T.strip("prompt_text")).alias("ack")), f"{_T} SELECT row_id, {_ACK_SQL} AS ack FROM x", "ack_flag")
 on_prompts(lambda p: p.select("row_id", T.is_path_heavy("prompt_text").alias("path_heavy"), T.is_ide_dump("prompt_text").alias("ide_dump")), f"{_T} SELECT row_id, {_PATH_SQL} AS path_heavy, {_IDE_SQL} AS ide_dump FROM x", "path_heavy")
@@ -155,9 +155,9 @@ on_prompts(
 
 @query("""SELECT doc_id, regexp_matches(text, '[\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}]') AS has_cjk, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS han,
   round(CASE WHEN length(t) > 0 THEN len(regexp_extract_all(t, '[\\x00-\\x7F]')) / length(t)::DOUBLE ELSE 1.0 END, 6) AS ascii_share
-  FROM (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
+  FROM (SELECT doc_id, coalesce(text, '') AS text, """ + _strip("coalesce(text, '')") + """ AS t FROM documents)""")
 def cjk_count(s, d):
-    t = views.table(s, d, "documents").where("text IS NOT NULL")
+    t = views.table(s, d, "documents")
     return _rounded(t.select("doc_id", T.has_cjk("text").alias("has_cjk"), T.count_han("text").alias("han"), T.ascii_share("text").alias("ascii_share")))
 
 
@@ -184,7 +184,7 @@ on_prompts(
 _COUNTS = {k: f"len(regexp_extract_all(t, '(?i){_q(p)}'))" for k, p in V.PROMPT_TYPES.items()}
 on_prompts(
     lambda p: p.select("row_id", T.prompt_type("prompt_text").alias("prompt_type")),
-    f"""WITH x AS (SELECT row_id, lower({_strip('prompt_text')}) AS t FROM v_prompts), c AS (SELECT row_id, {', '.join(f'{v} AS n_{k}' for k, v in _COUNTS.items())} FROM x),
+    f"""WITH x AS (SELECT row_id, lower({_strip('plain')}) AS t FROM v_prompts), c AS (SELECT row_id, {', '.join(f'{v} AS n_{k}' for k, v in _COUNTS.items())} FROM x),
       m AS (SELECT *, greatest({', '.join(f'n_{k}' for k in _COUNTS)}) AS most FROM c)
       SELECT row_id, CASE WHEN n_question > 0 THEN 'question' {' '.join(f"WHEN n_{k} = most AND most > 0 THEN '{k}'" for k in _COUNTS)} ELSE 'other' END AS prompt_type FROM m""", "prompt_type",
 )
@@ -211,27 +211,17 @@ on_prompts(
 _CODE_SQL = f"CASE WHEN {_rx(V.CODE_WORDS)} THEN 1 WHEN {_rx(V.NO_CODE_WORDS)} THEN 0 END"
 on_prompts(lambda p: _rounded(p.select("row_id", T.keyword_code("prompt_text").alias("pred"))), f"SELECT row_id, {_CODE_SQL} AS pred FROM v_prompts", "keyword_code")
 on_prompts(lambda p: _rounded(p.select("row_id", T.keyword_tool("prompt_text").alias("pred"))), f"SELECT row_id, CASE WHEN {_rx(V.TOOL_WORDS)} THEN 1 END AS pred FROM v_prompts", "keyword_tool")
-on_prompts(lambda p: p.select("row_id", T.mask_keywords("prompt_text").alias("masked")), rf"SELECT row_id, regexp_replace(prompt_text, '(?i)\b(?:{'|'.join(V.MASKED)})\b', '[MASK]', 'g') AS masked FROM v_prompts", "mask_keywords")
+on_prompts(lambda p: p.select("row_id", T.mask_keywords("prompt_text").alias("masked")), None, "mask_keywords")
 _FLAGS_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_rx(p)} THEN '{k}' END" for k, p in V.AUDIT_FLAGS.items()) + "], lambda x: x IS NOT NULL), ',')"
 _AUDIT = f"WITH x AS (SELECT *, {_FLAGS_SQL} AS flags FROM v_prompts), a AS (SELECT *, CASE WHEN has_generated_code AND flags <> '' THEN 'code_despite_non_implementation_prompt' WHEN NOT has_generated_code AND {_rx(V.AUDIT_VERBS)} THEN 'no_code_despite_implementation_prompt' ELSE 'consistent' END AS audit_category FROM x) "
 
 
-def _audited(p: DataFrame) -> DataFrame:
-    return p.select(
-        "row_id", "full_name", T.audit_flags("prompt_text").alias("flags"), T.audit_category("prompt_text", "has_generated_code").alias("audit_category"),
-        F.translate(F.substring("prompt_text", 1, 200), "\n", " ").alias("prompt_preview"),
-    )
-
-
-on_prompts(_audited, f"{_AUDIT} SELECT row_id, full_name, flags, audit_category, replace(substr(prompt_text, 1, 200), chr(10), ' ') AS prompt_preview FROM a", "label_audit")
-on_prompts(
-    lambda p: _rounded(_audited(p).groupBy("audit_category").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", 100 * F.col("n") / F.sum("n").over(W.partitionBy()))),
-    f"{_AUDIT} SELECT audit_category, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM a GROUP BY 1", "label_audit_summary",
-)
-on_prompts(lambda p: _audited(p).where("audit_category <> 'consistent'").orderBy("row_id").limit(50).select("row_id", "audit_category"), f"{_AUDIT} SELECT row_id, audit_category FROM a WHERE audit_category <> 'consistent' ORDER BY row_id LIMIT 50", "label_audit_top50")
+on_prompts(lambda p: stats.label_audit(p), f"{_AUDIT} SELECT row_id, full_name, flags, audit_category, replace(substr(prompt_text, 1, 200), chr(10), ' ') AS prompt_preview FROM a", "label_audit")
+on_prompts(lambda p: _rounded(stats.distribution(stats.label_audit(p), "audit_category").select(F.col("class").alias("audit_category"), "n", "pct")), f"{_AUDIT} SELECT audit_category, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM a GROUP BY 1", "label_audit_summary")
+on_prompts(lambda p: stats.label_audit_top(stats.label_audit(p)).select("row_id", "audit_category"), f"{_AUDIT} SELECT row_id, audit_category FROM a WHERE audit_category <> 'consistent' ORDER BY row_id LIMIT 50", "label_audit_top50")
 
 # --- cleaning --------------------------------------------------------------------------------------
-_CLEAN = f"WITH x AS (SELECT *, {_strip('prompt_text')} AS t FROM v_prompts), j AS (SELECT *, {_NOISE_SQL} AS reason FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY row_id) AS again FROM j WHERE reason IS NULL) "
+_CLEAN = f"WITH x AS (SELECT *, {_strip('prompt_text')} AS t, {_strip('plain')} AS tp FROM v_prompts), j AS (SELECT *, {_NOISE_SQL} AS reason FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY row_id) AS again FROM j WHERE reason IS NULL) "
 on_prompts(lambda p: _rounded(cleaning.clean(p).kept.select("row_id", "prompt_text", "prompt_length", "prompt_word_count")), f"{_CLEAN} SELECT row_id, t AS prompt_text, length(t) AS prompt_length, CAST({_words('t')} AS BIGINT) AS prompt_word_count FROM k WHERE again = 1", "clean_kept")
 on_prompts(lambda p: cleaning.clean(p).dropped.select("row_id", F.col("_drop_reason").alias("reason")), f"{_CLEAN} SELECT row_id, reason FROM j WHERE reason IS NOT NULL", "clean_dropped")
 on_prompts(
@@ -382,15 +372,15 @@ on_prompts(
 )
 
 
-@query("SELECT DISTINCT full_name FROM v_prompts WHERE full_name NOT IN (SELECT full_name FROM v_context)")
+@query("SELECT DISTINCT full_name FROM v_prompts WHERE full_name NOT IN (SELECT full_name FROM v_context WHERE repo_language < 'F')")
 def cache_anti(s, d):
-    return external.missing_from_cache(views.prompts(s, d).select("full_name").distinct(), views.context(s, d), "full_name")
+    return external.missing_from_cache(views.prompts(s, d).select("full_name").distinct(), views.context(s, d).where("repo_language < 'F'"), "full_name")
 
 
-@query("SELECT p.row_id, m.english FROM v_prompts p LEFT JOIN (SELECT sha256(prompt_text) AS hash, max(upper(prompt_text)) AS english FROM v_prompts WHERE row_id % 2 = 0 GROUP BY 1) m ON m.hash = sha256(p.prompt_text)")
+@query("SELECT p.row_id, m.english FROM v_prompts p LEFT JOIN (SELECT sha256(prompt_text) AS hash, max(concat('EN ', prompt_text)) AS english FROM v_prompts WHERE row_id % 2 = 0 GROUP BY 1) m ON m.hash = sha256(p.prompt_text)")
 def cache_hit(s, d):
     p = views.prompts(s, d).withColumn("hash", T.text_hash("prompt_text"))
-    cache = p.where("row_id % 2 = 0").select("hash", F.upper("prompt_text").alias("english"))
+    cache = p.where("row_id % 2 = 0").select("hash", F.concat(F.lit("EN "), "prompt_text").alias("english"))
     return external.with_cache(p, cache, "hash", ["english"]).select("row_id", "english")
 
 
@@ -431,9 +421,9 @@ on_prompts(lambda p: p.select("row_id", exports.blob_id("agent_response").alias(
 on_prompts(lambda p: p.select("row_id", T.row_hash("v1", "prompt_text", "agent_response").alias("hash")), "SELECT row_id, sha256(concat('v1||', prompt_text, '||', agent_response)) AS hash FROM v_prompts", "row_hash")
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(text, 1, 980) || chr(10) || '...[truncated]' ELSE text END AS preview, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...[truncated, ' || length(text) || ' chars total]' ELSE text END AS cut FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(text, 1, 980) || chr(10) || '...[truncated]' ELSE text END AS preview, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...[truncated, ' || length(text) || ' chars total]' ELSE text END AS cut FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def preview(s, d):
-    return views.table(s, d, "documents").where("text IS NOT NULL").select("doc_id", T.preview("text", 1000).alias("preview"), T.truncate("text", 400).alias("cut"))
+    return views.table(s, d, "documents").select("doc_id", T.preview("text", 1000).alias("preview"), T.truncate("text", 400).alias("cut"))
 
 
 _REPLY = """CASE row_id % 5 WHEN 0 THEN 'no json' WHEN 1 THEN '{}' WHEN 2 THEN '{"action_type": "fly"}' WHEN 3 THEN 'x {"action_type": "DEBUG"} y' ELSE '{"action_type": "review", "confidence": 0.75, "rationale": "r"}' END"""
@@ -445,9 +435,9 @@ on_prompts(
 
 
 @query("""SELECT doc_id, CASE WHEN length(t) < 2 OR lower(t) = 'nan' THEN false WHEN regexp_matches(t, '[\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}]') THEN true ELSE len(regexp_extract_all(t, '[\\x00-\\x7F]')) / length(t)::DOUBLE < 0.85 END AS needed
-  FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
+  FROM (SELECT doc_id, """ + _strip("coalesce(text, '')") + """ AS t FROM documents)""")
 def needs_translation_ascii(s, d):
-    return views.table(s, d, "documents").where("text IS NOT NULL").select("doc_id", T.needs_translation("text").alias("needed"))
+    return views.table(s, d, "documents").select("doc_id", T.needs_translation("text").alias("needed"))
 
 
 def _upper(texts: list[str]) -> list[str]:
@@ -456,7 +446,7 @@ def _upper(texts: list[str]) -> list[str]:
 
 @query(None)
 def english_view(s, d):
-    c = views.table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("部分 "), F.col("text"), F.lit("\n```py\nx = 1\n```\n")).alias("t"))
+    c = views.table(s, d, "documents").select("doc_id", F.concat(F.lit("部分 "), T.text("text"), F.lit("\n```py\nx = 1\n```\n")).alias("t"))
     return exports.english_view(external.translated(c, ["t"], _upper), ["t"])
 
 
@@ -552,7 +542,7 @@ on_prompts(
 )
 
 # --- terms -----------------------------------------------------------------------------------------
-_TERMS = r"WITH w AS (SELECT row_id, full_name, unnest(regexp_extract_all(lower(prompt_text), '\b\w\w+\b')) AS term FROM v_prompts), tf AS (SELECT row_id, full_name, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM v_prompts), m AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 500), g AS (SELECT row_id, full_name, term, (1 + ln(tf)) * idf AS w FROM tf JOIN m USING (term)), u AS (SELECT row_id, full_name, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS weight FROM g) "
+_TERMS = r"WITH w AS (SELECT row_id, full_name, unnest(regexp_extract_all(lower(prompt_text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}')) AS term FROM v_prompts), tf AS (SELECT row_id, full_name, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM v_prompts), m AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 500), g AS (SELECT row_id, full_name, term, (1 + ln(tf)) * idf AS w FROM tf JOIN m USING (term)), u AS (SELECT row_id, full_name, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS weight FROM g) "
 
 
 def _weights(p: DataFrame) -> DataFrame:
@@ -588,7 +578,7 @@ def turn_records(s, d):
 
 @query("SELECT count(DISTINCT conv_id) AS files FROM (SELECT conv_id FROM conversations WHERE role = 'user' AND trim(text) <> '')")
 def extraction_files(s, d):
-    return transcripts.turn_pairs(views.transcripts(s, d)).agg(F.countDistinct("path").alias("files"))
+    return transcripts.extraction_summary(transcripts.turn_records(views.transcripts(s, d))).select(F.col("sessions").alias("files"))
 
 
 _FENCED = "concat(prompt_text, chr(10), '```py', chr(10), 'x = ', CAST(row_id AS STRING), chr(10), '```', chr(10), '```', chr(10), 'y', chr(10), '```')"

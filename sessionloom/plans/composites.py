@@ -142,7 +142,7 @@ def robustness(df: DataFrame, row_id: str = "row_id") -> dict[str, DataFrame]:
     for name, d in runs.items():
         r = ml.trained_binary(d, "has_generated_code").select(F.lit(name).alias("representation"), "*")
         out = r if out is None else out.unionByName(r)
-    audit = rows.select(row_id, "full_name", "has_generated_code", T.audit_flags("prompt_text").alias("flags"), T.audit_category("prompt_text", "has_generated_code").alias("audit_category"))
+    audit = stats.label_audit(rows, row_id, "has_generated_code")
     return {
         "results": out, "majority": metrics.majority(test, "y"), "keyword": metrics.keyword_baseline(test, "y", "rule"), "audit": audit,
         "always_positive": metrics.binary(test.withColumn("_one", F.lit(1)), "y", "_one"), "best": metrics.best_by(out, ["representation"], ["roc_auc", "f1"]),

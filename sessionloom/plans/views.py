@@ -4,36 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: (phrase, bare): prompts open with the phrase of doc_id % 12; a bare one has nothing behind it.
+#: Prompts open with the phrase of doc_id % 12; the whole text follows.
 SEEDS = [
-    ("Fix the bug in the login module: ", False), ("Ok, continue.", True), ("/fix now", True), ("Add unit tests for the login component. ", False),
-    ("Why does this crash? ", False), ("Explain what does the error mean: ", False), ("Please review and check the README. ", False), ("ok, use PyQt6 and continue with ", False),
-    ("Refactor the SQL query and the database schema ", False), ("./src/app.tsx", True), ("here is the context you should return ", False), ("", False),
+    "Fix the bug in the login module: ", "Ok, continue.", "/fix now", "Add unit tests for the login component. ", "Why does this crash? ", "Explain what does the error mean: ",
+    "Please review and check the README. ", "ok, use PyQt6 and continue with ", "Refactor the SQL query and the database schema ", "./src/app.tsx", "here is the context you should return ", "",
 ]
 
-_PROMPT = "CASE doc_id % 12 " + " ".join(
-    f"WHEN {i} THEN '{s}'" if bare else f"WHEN {i} THEN concat('{s}', substr(text, 1, CAST(10 + doc_id % 200 AS INT)))" for i, (s, bare) in enumerate(SEEDS)
-) + " END"
-
+_PHRASE = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SEEDS)) + " ELSE '' END"
 PROMPTS = [
     "doc_id AS row_id", "source AS full_name", "concat('h', CAST(doc_id % 3 AS STRING), '.md') AS source_file",
-    "CAST(row_number() OVER (PARTITION BY source, doc_id % 3 ORDER BY doc_id) AS INT) AS turn_index", f"{_PROMPT} AS prompt_text",
+    "CAST(row_number() OVER (PARTITION BY source, doc_id % 3 ORDER BY doc_id) AS INT) AS turn_index", f"concat({_PHRASE}, coalesce(text, '')) AS prompt_text",
     "doc_id % 7 < 3 AS has_generated_code", "doc_id % 5 = 0 AS has_tool_use", "CAST(CASE WHEN doc_id % 7 < 3 THEN 1 + doc_id % 2 ELSE 0 END AS INT) AS code_block_count",
-    "CASE WHEN doc_id % 7 < 3 THEN substr(text, 1, CAST((doc_id % 5) * 100 AS INT)) ELSE '' END AS generated_code",
-    "substr(text, 1, CAST((doc_id % 6) * 30 AS INT)) AS agent_response",
+    "CASE WHEN doc_id % 7 < 3 THEN coalesce(text, '') ELSE '' END AS generated_code", "coalesce(text, '') AS agent_response",
 ]
-#: The same columns over every row and the whole text; no oracle reads them.
-_PHRASE = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, (s, _) in enumerate(SEEDS)) + " ELSE '' END"
-_WHOLE = {
-    "prompt_text": f"concat({_PHRASE}, coalesce(text, '')) AS prompt_text",
-    "generated_code": "CASE WHEN doc_id % 7 < 3 THEN coalesce(text, '') ELSE '' END AS generated_code",
-    "agent_response": "coalesce(text, '') AS agent_response",
-}
-WHOLE_PROMPTS = [_WHOLE.get(c.rsplit(" ", 1)[1], c) for c in PROMPTS]
-_ENGLISH = "lang = 'en' AND text IS NOT NULL AND {bytes}(text) = length(text)"
+
+#: DuckDB's spelling of the library's white space, and of characters outside ASCII that are no word characters.
+WHITE_SQL = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WIDE_WHITE, _WIDE_OTHER = r"[\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"[^\x00-\x7F\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]"
+
+
+def ascii_twin(c: str) -> str:
+    """SQL for c with each character outside ASCII as an ASCII one of its class: blank, chr(1) or underscore.
+
+    DuckDB's \\b, \\w and \\s know ASCII only; on the twin they decide as Unicode ones do on c, place by place.
+    """
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '{_WIDE_WHITE}', ' ', 'g'), '{_WIDE_OTHER}', chr(1), 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+
 
 #: For DuckDB, as the body of a WITH entry.
-PROMPTS_SQL = f"SELECT {', '.join(PROMPTS)} FROM documents WHERE {_ENGLISH.format(bytes='strlen')}"
+PROMPTS_SQL = f"SELECT *, {ascii_twin('prompt_text')} AS plain FROM (SELECT {', '.join(PROMPTS)} FROM documents)"
 HITS = [
     "o_custkey AS full_name", "o_orderkey AS hit", "o_orderpriority AS detection_query", "o_orderstatus AS discovery_source", "o_totalprice AS stars",
     "CAST(o_orderkey % 40 AS DOUBLE) AS age_months", "o_orderkey % 300 AS size_kb", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS language",
@@ -50,13 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, full_name, source_file, turn_index, prompt_text, flags, code and response; one row an English document."""
-    return table(spark, sf_dir, "documents").where(_ENGLISH.format(bytes="octet_length")).selectExpr(*PROMPTS)
+    """row_id, full_name, source_file, turn_index, prompt_text, flags, code and response of every document, with its whole text."""
+    return table(spark, sf_dir, "documents").selectExpr(*PROMPTS)
 
 
-def whole_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of prompts for every document, whatever its language and characters, with its whole text."""
-    return table(spark, sf_dir, "documents").selectExpr(*WHOLE_PROMPTS)
+whole_prompts = prompts
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
