@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import CleaningConfig
-from sessionloom.operators import sessions
+from sessionloom.operators import external, sessions
 from sessionloom.plans import composites, reports
 from sessionloom.sources import exports, readers
 
@@ -30,18 +30,21 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def save(tables: dict[str, DataFrame], title: str, output: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{output}/{name}")
-    small = {k: v for k, v in tables.items() if k not in ("cleaned", "dropped", "clustered", "labelled", "audit")}
+    small = {k: v for k, v in tables.items() if k not in ("cleaned", "dropped", "clustered", "labelled", "audit", "english")}
     reports.write_report(title, small, f"{output}/report")
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="sessionloom")
-    p.add_argument("command", choices=["discover", "extract", "enrich", "analyse", "research", "robustness", "predict", "label", "reexport"])
+    p.add_argument("command", choices=["discover", "extract", "enrich", "analyse", "research", "robustness", "predict", "label", "translate", "reexport"])
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--context", help="repository context table (predict)")
     p.add_argument("--repo-cap", type=int, help="most prompts a repository (analyse)")
     p.add_argument("--clusters", type=int, nargs=2, default=(4, 20), help="range of k (analyse)")
+    p.add_argument("--cache", help="table of earlier translations or labels, extended by this run (translate, label)")
+    p.add_argument("--columns", nargs="+", default=["prompt_text", "agent_response"], help="columns to translate")
+    p.add_argument("--max-rows", type=int, help="translate the first rows only")
     p.add_argument("--strict", action="store_true", help="strict candidate filter (discover)")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"sessionloom-{a.command}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -53,7 +56,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "enrich":
         sessions.enriched(load(spark, a.input)).write.mode("overwrite").parquet(a.output)
     elif a.command == "analyse":
-        config = composites.AnalysisConfig(CleaningConfig(max_prompts_per_repo=a.repo_cap), *a.clusters)
+        config = composites.AnalysisConfig(CleaningConfig(max_prompts_per_repo=a.repo_cap), *a.clusters, folder=f"{a.output}/judged")
         save(composites.analyse(load(spark, a.input), config), "Analysis", a.output)
     elif a.command == "research":
         rows = load(spark, a.input)
@@ -65,7 +68,22 @@ def main(argv: list[str] | None = None) -> None:
         context = spark.read.parquet(a.context) if a.context else None
         save(composites.predict_actions(sessions.with_session_features(rows), context, label), "Action prediction", a.output)
     elif a.command == "label":
-        save(composites.label_with_model(sessions.with_action_labels(load(spark, a.input))), "Labels", a.output)
+        cache = external.load_cache(spark, a.cache, "hash string, action_type string, confidence double, rationale string", external.PROMPT_VERSION) if a.cache else None
+        out = composites.label_with_model(sessions.with_action_labels(load(spark, a.input)), cache=cache, folder=f"{a.output}/rows")
+        new = out.pop("cache")
+        save(out, "Labels", a.output)
+        if a.cache:
+            external.save_cache(new, a.cache, external.PROMPT_VERSION)
+    elif a.command == "translate":
+        rows = load(spark, a.input)
+        rows = rows if a.max_rows is None else rows.orderBy("row_id").limit(a.max_rows)
+        cache = external.load_cache(spark, a.cache, "hash string, english string", external.TRANSLATION_VERSION) if a.cache else None
+        # Written first, so that each part is translated once, whatever reads it.
+        table = exports.checkpointed(external.translations(rows, a.columns, cache=cache), f"{a.output}/translations")
+        if a.cache:
+            external.save_cache(external.missing_from_cache(table, cache, "hash"), a.cache, external.TRANSLATION_VERSION)
+        view = exports.english_view(external.translated(rows, a.columns, cache=table), a.columns)
+        save({"english": exports.checkpointed(view, f"{a.output}/view"), "changed": external.changed_counts(view, a.columns)}, "Translation", a.output)
     else:
         rows = load(spark, a.input)
         exports.write_csv(exports.spreadsheet(rows, f"{a.output}/blobs"), f"{a.output}/spreadsheet")

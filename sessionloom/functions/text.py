@@ -5,6 +5,7 @@ Patterns run with Unicode classes and boundaries. A null text counts as empty un
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,6 +29,11 @@ def has(c: str | Column, pattern: str) -> Column:
     return text(c).rlike(f"(?iU){pattern}")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: str | Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(text(c), rf"(?U)^{_WHITE}+|{_WHITE}+\z", "")
@@ -129,7 +135,10 @@ class CleaningConfig:
 def noise_reason(c: str | Column, config: CleaningConfig | None = None) -> Column:
     """The first reason to drop a prompt, else null."""
     config = config or CleaningConfig()
-    s = strip(c)
+    return bound(strip(c), lambda s: _noise_reason(s, config))
+
+
+def _noise_reason(s: Column, config: CleaningConfig) -> Column:
     out = F.when(F.length(s) == 0, "empty")
     if config.drop_acknowledgments:
         out = out.when(is_acknowledgment(s), "acknowledgment")
@@ -172,8 +181,7 @@ def prompt_type(c: str | Column) -> Column:
             out = out.when((n[i] == most) & (most > 0), k)
         return out.otherwise("other")
 
-    # Bound to a variable, so that each pattern runs once a text.
-    return F.transform(F.array(counts), kind)[0]
+    return bound(counts, kind)
 
 
 def _flag(c: str | Column) -> Column:

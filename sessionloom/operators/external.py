@@ -13,8 +13,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sessionloom.functions import text as T
 from sessionloom.functions import vocab as V
@@ -41,8 +43,8 @@ def hashed_encoder(dim: int = 64) -> Encoder:
     return encode
 
 
-def embedded(df: DataFrame, text: str = "prompt_text", encoder: Encoder | None = None, batch: int = 64, out: str = "embedding") -> DataFrame:
-    """Adds out, array<float>."""
+def embedded(df: DataFrame, text: str = "prompt_text", encoder: Encoder | None = None, batch: int = 64, out: str = "embedding", optional: bool = False) -> DataFrame:
+    """Adds out, array<float>. With optional, as for a second encoder that knows code, a hook that fails leaves null."""
     encode = encoder or hashed_encoder()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -50,12 +52,43 @@ def embedded(df: DataFrame, text: str = "prompt_text", encoder: Encoder | None =
             rows: list[list[float]] = []
             texts = s.fillna("").tolist()
             for k in range(0, len(texts), batch):
-                rows += encode(texts[k : k + batch])
+                try:
+                    rows += encode(texts[k : k + batch])
+                except Exception:  # noqa: BLE001
+                    if not optional:
+                        raise
+                    rows += [None] * len(texts[k : k + batch])
             yield pd.Series(rows)
 
     return df.withColumn(out, F.pandas_udf(run, "array<float>")(text))
 
 
+def embedded_cached(df: DataFrame, cache: DataFrame, text: str = "prompt_text", encoder: Encoder | None = None, out: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(df with out, new rows for the cache): cache is (hash, vector), and only distinct texts that it lacks are encoded."""
+    keyed = df.withColumn("_hash", T.text_hash(text))
+    lacking = missing_from_cache(keyed.select(F.col("_hash").alias("hash"), F.col(text).alias("_text")).dropDuplicates(["hash"]), cache, "hash")
+    new = embedded(lacking, "_text", encoder, out="vector").select("hash", "vector")
+    every = extended_cache(cache.select("hash", "vector").dropDuplicates(["hash"]), new)
+    return keyed.join(every.select(F.col("hash").alias("_hash"), F.col("vector").alias(out)), "_hash", "left").drop("_hash"), new
+
+
+def load_cache(spark: SparkSession, path: str, schema: str, version: str) -> DataFrame:
+    """The rows of a cache table that have this version; empty where the table is missing or has another schema."""
+    wanted = StructType.fromDDL(schema)
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], wanted)
+    if not {(f.name, f.dataType) for f in wanted.fields} <= {(f.name, f.dataType) for f in found.schema.fields} or "version" not in found.columns:
+        return spark.createDataFrame([], wanted)
+    return found.where(F.col("version") == version).select(*wanted.names)
+
+
+def save_cache(new: DataFrame, path: str, version: str) -> None:
+    """Appends rows under their version; readers take one row a key."""
+    new.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
+
+
 def missing_from_cache(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return df.join(cache.select(key).distinct(), key, "left_anti")
 
@@ -76,30 +109,43 @@ def split_code(c: str) -> Column:
     return F.transform(parts, lambda p: F.struct(p.startswith("```").alias("is_code"), p.alias("part")))
 
 
-def translated(df: DataFrame, columns: list[str], translator: Translator | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """Adds <column>_en and any_translated. Code fences pass through untouched; a hook that fails leaves the text.
+def translations(df: DataFrame, columns: list[str], translator: Translator | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """hash, english of the distinct parts outside code fences that need it: from the cache, else from the hook.
 
-    Distinct parts that need it are translated once: exploded, hashed, looked up in the cache, sent to the
-    hook, and joined back.
+    A hook that fails leaves the text, and no row here, so that nothing wrong is kept in a cache.
     """
     hook = translator or (lambda texts: texts)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             try:
-                yield pd.Series(hook(s.tolist()))
+                yield pd.Series(hook(s.tolist()), dtype=object)
             except Exception:  # noqa: BLE001  one failing batch must not end the job
-                yield s
+                yield pd.Series([None] * len(s), dtype=object)
+
+    each = [df.select(F.explode(split_code(c)).alias("p")).where(~F.col("p.is_code")).select(F.col("p.part").alias("part")) for c in columns]
+    parts = each[0]
+    for p in each[1:]:
+        parts = parts.unionByName(p)
+    keyed = parts.where(T.needs_translation("part")).withColumn("hash", T.text_hash("part")).dropDuplicates(["hash"])
+    todo, known = keyed, None
+    if cache is not None:
+        todo = missing_from_cache(keyed, cache, "hash")
+        known = with_cache(keyed, cache, "hash", ["english"]).where("english IS NOT NULL").select("hash", "english")
+    fresh = todo.select("hash", F.pandas_udf(run, "string")("part").alias("english")).where("english IS NOT NULL")
+    return fresh if known is None else known.unionByName(fresh)
+
 
-    call = F.pandas_udf(run, "string")
+def translated(df: DataFrame, columns: list[str], translator: Translator | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """Adds <column>_en and any_translated. Code fences pass through untouched; a hook that fails leaves the text.
+
+    Distinct parts that need it are translated once: exploded, hashed, looked up in the cache, sent to the
+    hook, and joined back.
+    """
+    done = translations(df, columns, translator, cache)
     out = df
     for c in columns:
-        need = out.select(F.explode(split_code(c)).alias("p")).where(~F.col("p.is_code")).select(F.col("p.part").alias("part")).where(T.needs_translation("part")).distinct()
-        keyed = need.withColumn("hash", T.text_hash("part"))
-        known = with_cache(keyed, cache, "hash", ["english"]) if cache is not None else keyed.withColumn("english", F.lit(None).cast("string"))
-        table = known.withColumn("_new", F.when(F.col("english").isNull(), F.col("part")))
-        done = table.where("english IS NOT NULL").select("hash", "english").unionByName(table.where("english IS NULL").select("hash", call("_new").alias("english")))
-        parts = out.select(T.text_hash(c).alias("_key"), c).distinct().select("_key", F.posexplode(split_code(c)).alias("i", "p"))
+        parts = out.select(T.text_hash(c).alias("_key"), c).dropDuplicates(["_key"]).select("_key", F.posexplode(split_code(c)).alias("i", "p"))
         joined = parts.withColumn("hash", F.when(~F.col("p.is_code"), T.text_hash("p.part"))).join(done, "hash", "left")
         whole = joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("english", "p.part").alias("t")))).alias("ts"))
         whole = whole.select("_key", F.array_join(F.transform("ts", lambda x: x["t"]), "").alias(f"{c}_en"))
@@ -108,7 +154,13 @@ def translated(df: DataFrame, columns: list[str], translator: Translator | None
     return out.withColumn("any_translated", changed)
 
 
-PROMPT_VERSION = "v1"
+def changed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, changed, rows: how many values of each translated column differ from their source."""
+    total = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"{c}_en") != T.text(c)).alias(c) for c in columns])
+    return total.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("changed")) for c in columns])).alias("x")).select("x.column", "x.changed", "rows")
+
+
+PROMPT_VERSION, TRANSLATION_VERSION = "v1", "v1"
 
 
 def label_prompt(exemplars: list[dict] | None = None, most_prompt: int = 4000, most_response: int = 20_000) -> Column:
@@ -135,12 +187,25 @@ def rule_labeller() -> Labeller:
     return label
 
 
+# Failed rows in a row, and words of an error, after which calling on is pointless.
+MOST_FAILURES = 10
+QUOTA_WORDS = ("per day", "tpd", "daily")
+
+
+def label_cache(labelled: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """hash, action_type, confidence, rationale of the rows that were labelled without an error and that the cache lacks."""
+    done = labelled.where("llm_error IS NULL AND llm_action_type IS NOT NULL").select("hash", *[F.col(f"llm_{c}").alias(c) for c in ("action_type", "confidence", "rationale")])
+    done = done.dropDuplicates(["hash"])
+    return done if cache is None else missing_from_cache(done, cache, "hash")
+
+
 def labelled(df: DataFrame, labeller: Labeller | None = None, cache: DataFrame | None = None, workers: int = 4, interval: float = 0.0, retries: int = 3) -> DataFrame:
     """Adds llm_action_type, llm_confidence, llm_rationale, llm_error and the row's hash.
 
     workers bounds how many tasks call the hook at once; each waits interval * workers seconds between calls,
-    so that interval holds over all of them. A call that keeps failing puts its error into the row. Rows
-    found in the cache (hash, action_type, confidence, rationale) never reach the hook.
+    so that interval holds over all of them. A call that keeps failing leaves the type blank and its error in the row.
+    A task stops calling after a reply that names an exhausted quota, or after MOST_FAILURES failed rows in a row; its
+    rows left are marked as skipped. Rows found in the cache (hash, action_type, confidence, rationale) never reach the hook.
     """
     hook = labeller or rule_labeller()
     keyed = df.withColumn("hash", T.row_hash(PROMPT_VERSION, "prompt_text", "agent_response")).withColumn("_request", label_prompt())
@@ -149,24 +214,32 @@ def labelled(df: DataFrame, labeller: Labeller | None = None, cache: DataFrame |
         todo = missing_from_cache(todo, cache, "hash")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped, failures = False, 0
         for b in batches:
             replies, errors = [], []
             for request in b["_request"]:
-                reply, error = "", None
-                for attempt in range(retries):
+                reply, error = "", "skipped_after_quota_exhausted" if stopped else None
+                for attempt in range(0 if stopped else retries):
                     try:
                         reply, error = hook([request])[0], None
                         break
                     except Exception as e:  # noqa: BLE001
                         error = f"call_failed:{e}"
+                        if any(w in str(e).lower() for w in QUOTA_WORDS):
+                            error, stopped = "quota_exhausted", True
+                            break
                         time.sleep(interval * 2**attempt)
-                time.sleep(interval * workers)
+                if not stopped:
+                    time.sleep(interval * workers)
+                    failures = failures + 1 if error else 0
+                    stopped = failures >= MOST_FAILURES
                 replies.append(reply)
                 errors.append(error)
             yield pd.DataFrame({"hash": b["hash"].array, "raw": replies, "failed": errors})
 
     answers = todo.coalesce(workers).mapInPandas(run, "hash string, raw string, failed string").withColumn("p", T.parse_label("raw"))
-    fresh = answers.select("hash", "p.action_type", "p.confidence", "p.rationale", F.coalesce("failed", "p.error").alias("error"))
+    kind = F.when(F.col("failed").isNull(), F.col("p.action_type")).otherwise("")
+    fresh = answers.select("hash", kind.alias("action_type"), "p.confidence", "p.rationale", F.coalesce("failed", "p.error").alias("error"))
     every = fresh
     if cache is not None:
         every = cache.select("hash", "action_type", "confidence", "rationale", F.lit(None).cast("string").alias("error")).dropDuplicates(["hash"]).unionByName(fresh)

@@ -106,6 +106,12 @@ def best_by(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values])
 
 
+def named_model(results: DataFrame, keys: list[str], name: str = "boosted_trees") -> DataFrame:
+    """For each key the row of the named model; where it is missing, that of the first model by name."""
+    first = F.struct((F.col("model") != name).alias("other"), "model", F.struct(*results.columns).alias("r"))
+    return results.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(first).alias("b")).select("b.r.*")
+
+
 def pivot_max(df: DataFrame, index: str, columns: str, value: str, names: list[str]) -> DataFrame:
     return df.groupBy(index).pivot(columns, names).agg(F.max(value))
 

@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,21 @@ def pca_2d(df: DataFrame, features: str = "features") -> DataFrame:
     return v.withColumns({"x": F.get("_xy", F.lit(0)), "y": F.get("_xy", F.lit(1))}).drop("_pca", "_xy")
 
 
+def settled(*rows: DataFrame) -> DataFrame:
+    """Tables of a few rows, computed now, so that what they were computed from can be released."""
+    return rows[0].sparkSession.createDataFrame([r for d in rows for r in d.collect()], rows[0].schema)
+
+
+def importances(model, names: list[str], most: int = 20) -> DataFrame | None:
+    """place, feature, importance: the most important inputs of a tree model, ties by place; None where a model has none."""
+    found = getattr(model, "featureImportances", None)
+    if found is None:
+        return None
+    values = sorted(((float(v), i) for i, v in enumerate(found.toArray())), key=lambda x: (-x[0], x[1]))[:most]
+    rows = [(k + 1, names[i] if i < len(names) else f"f{i}", v) for k, (v, i) in enumerate(values)]
+    return SparkSession.active().createDataFrame(rows, "place int, feature string, importance double")
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Adds weight: n / (classes * class size)."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
@@ -69,19 +84,21 @@ def trained(df: DataFrame, label: str, features: str = "features", only: list[st
     scale = StandardScaler(inputCol=features, outputCol="scaled", withMean=True)
     ready = Pipeline(stages=[index, scale]).fit(train)
     train, test = balanced(ready.transform(train), "y").cache(), ready.transform(test).cache()
-    width = len(train.select(features).first()[0])
-    out = None
-    for name, estimator in classifiers(len(index.labels), width).items():
-        if only and name not in only:
-            continue
-        scored = estimator.fit(train).transform(test).select("y", "prediction")
-        row = metrics.multiclass(scored, "y", "prediction").select(F.lit(name).alias("model"), "accuracy", "macro_f1")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def trained_binary(df: DataFrame, label: str, features: str = "features", seed: int = 42) -> DataFrame:
-    """model, target and the binary and ranking metrics on the test rows."""
+    try:
+        width = len(train.select(features).first()[0])
+        rows = []
+        for name, estimator in classifiers(len(index.labels), width).items():
+            if only and name not in only:
+                continue
+            scored = estimator.fit(train).transform(test).select("y", "prediction")
+            rows.append(settled(metrics.multiclass(scored, "y", "prediction").select(F.lit(name).alias("model"), "accuracy", "macro_f1")))
+        return settled(*rows)
+    finally:
+        train.unpersist(), test.unpersist()
+
+
+def trained_binary(df: DataFrame, label: str, features: str = "features", seed: int = 42, only: list[str] | None = None) -> DataFrame:
+    """model, target and the binary and ranking metrics on the test rows; only limits the models by name."""
     rows = df.withColumn("y", F.coalesce(F.col(label), F.lit(False)).cast("int").cast("double")).withColumnRenamed(features, "scaled")
     train, test = balanced(rows.where("NOT is_test"), "y").cache(), rows.where("is_test").cache()
     models = {
@@ -89,12 +106,15 @@ def trained_binary(df: DataFrame, label: str, features: str = "features", seed:
         "random_forest": RandomForestClassifier(featuresCol="scaled", labelCol="y", numTrees=40, seed=seed),
         "boosted_trees": GBTClassifier(featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=15, maxDepth=4, seed=seed),
     }
-    out = None
-    for name, m in models.items():
-        s = m.fit(train).transform(test).select("y", "prediction", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-        row = metrics.binary(s, "y", "prediction").crossJoin(metrics.ranking(s, "y", "p")).select(F.lit(name).alias("model"), F.lit(label).alias("target"), "*")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    try:
+        out = []
+        for name in (n for n in models if not only or n in only):
+            s = models[name].fit(train).transform(test).select("y", "prediction", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+            row = metrics.binary(s, "y", "prediction").crossJoin(metrics.ranking(s, "y", "p"))  # one row each
+            out.append(settled(row.select(F.lit(name).alias("model"), F.lit(label).alias("target"), "*")))
+        return settled(*out)
+    finally:
+        train.unpersist(), test.unpersist()
 
 
 def trained_regression(df: DataFrame, target: str, features: str = "features", seed: int = 42) -> DataFrame:
@@ -106,11 +126,14 @@ def trained_regression(df: DataFrame, target: str, features: str = "features", s
         "random_forest": RandomForestRegressor(featuresCol=features, labelCol="y", numTrees=30, seed=seed),
         "boosted_trees": GBTRegressor(featuresCol=features, labelCol="y", maxIter=15, maxDepth=4, seed=seed),
     }
-    out = None
-    for name, m in models.items():
-        row = metrics.regression(m.fit(train).transform(test), "y", "prediction").select(F.lit(name).alias("model"), F.lit(target).alias("target"), "mae", "rmse", "r2")
-        out = row if out is None else out.unionByName(row)
-    return out
+    try:
+        out = []
+        for name, m in models.items():
+            row = metrics.regression(m.fit(train).transform(test), "y", "prediction")
+            out.append(settled(row.select(F.lit(name).alias("model"), F.lit(target).alias("target"), "mae", "rmse", "r2")))
+        return settled(*out)
+    finally:
+        train.unpersist(), test.unpersist()
 
 
 def cross_validated(df: DataFrame, label: str, representations: dict[str, str], models: list[str] | None = None) -> DataFrame:

@@ -103,6 +103,11 @@ def turn_records(files: DataFrame, repos: DataFrame | None = None, filter_noise:
     )
 
 
+def extraction_actions(turn_table: DataFrame) -> DataFrame:
+    """action_type, n of labelled turns."""
+    return turn_table.groupBy("action_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def extraction_summary(turn_table: DataFrame) -> DataFrame:
     return turn_table.agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("full_name").alias("repos"), F.countDistinct("source_file").alias("files"),

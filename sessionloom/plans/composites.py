@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import text as T
 from sessionloom.functions.text import CleaningConfig
 from sessionloom.operators import cleaning, discovery, external, features, metrics, ml, sessions, splits, stats, transcripts
+from sessionloom.sources import exports
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,10 @@ def discover(hits: DataFrame, tie: str = "url", relaxed: bool = True) -> Discove
     return Discovery(hits, found, per_query, discovery.summary(found))
 
 
-def extract(files: DataFrame, repos: DataFrame | None = None, enrich: bool = True) -> DataFrame:
+def extract(files: DataFrame, repos: DataFrame | None = None, enrich: bool = True, max_repos: int | None = None) -> DataFrame:
+    """Turns of transcripts; with max_repos, an option of the caller, of the first repositories by name only."""
+    if max_repos is not None and repos is not None:
+        repos = repos.dropDuplicates(["full_name"]).orderBy("full_name").limit(max_repos)
     table = transcripts.turn_records(files, repos).withColumn("row_id", F.xxhash64("full_name", "source_file", "turn_index"))
     return sessions.enriched(table) if enrich else table
 
@@ -40,12 +44,14 @@ class AnalysisConfig:
     translator: external.Translator | None = None
     translate: bool = False
     row_id: str = "row_id"
+    #: Where judged rows are written, so that cleaning runs once for all tables.
+    folder: str | None = None
 
 
 def analyse(df: DataFrame, config: AnalysisConfig | None = None) -> dict[str, DataFrame]:
     """Clean, embed, cluster and describe prompts."""
     config = config or AnalysisConfig()
-    done = cleaning.clean(df, config.cleaning, config.row_id)
+    done = cleaning.clean(df, config.cleaning, config.row_id, config.folder)
     rows = done.kept
     if config.translate:
         rows = external.translated(rows, ["prompt_text"], config.translator)
@@ -106,7 +112,7 @@ def predict_actions(
         base = metrics.majority(test, label).select(F.lit("majority").alias("baseline"), "accuracy")
         rule = metrics.multiclass(test.withColumn("_p", T.prompt_rule("prompt_text")), label, "_p").select(F.lit("keyword_rule").alias("baseline"), "accuracy")
         # One row a model, fold or baseline: settled here, so that the cached rows can go.
-        settled = lambda d: d.sparkSession.createDataFrame(d.collect(), d.schema)
+        settled = ml.settled
         results, baselines, overlap = settled(results), settled(base.unionByName(rule)), settled(splits.overlap_report(rows))
         cv = settled(ml.cross_validated(splits.group_folds(rows, folds), label, columns, ["logistic_regression"]))
         pairs = [("prompt_only", name) for name in columns if name != "prompt_only"]
@@ -129,30 +135,68 @@ def research(df: DataFrame, label: str = "primary_intent", least: int = 5, model
     }
 
 
-def robustness(df: DataFrame, row_id: str = "row_id") -> dict[str, DataFrame]:
-    """Train-only repository statistics, masked keywords, baselines and the label audit."""
+#: Columns that a behaviour model may see: nothing that follows from the reply or from the intent rules.
+SAFE_METADATA = ["char_len", "word_len", "line_count", "has_question", "has_code_mention", "starts_imperative", "turn_index"]
+TRAIN_ONLY = ["repo_prompt_count_train", "repo_median_words_train", "repo_code_rate_train", "repo_tool_rate_train"]
+KEYWORD_RULES = {"has_generated_code": T.keyword_code, "has_tool_use": T.keyword_tool}
+
+
+def robustness(
+    df: DataFrame, row_id: str = "row_id", targets: tuple[str, ...] = ("has_generated_code", "has_tool_use"), models: list[str] | None = None, encoder: external.Encoder | None = None,
+    only: list[str] | None = None,
+) -> dict[str, DataFrame]:
+    """Does the signal survive without keywords, or without the repository? Repository-held-out, for each target.
+
+    Datasets: A_full (embedding; with safe metadata; train-only repository statistics alone; embedding with them; TF-IDF),
+    B_keyword_masked (embedding; with safe metadata) and C_semantic_only (the embedding, whose figures are A_full's).
+    Baselines (dataset full): the majority class and the keyword rule. only limits representations by "dataset/name".
+    results: dataset, representation, model, target, auc, f1, accuracy, coverage; ablation: the best auc and f1 of the first target.
+    """
     rows = stats.with_train_repo_stats(splits.group_split(df), ~F.col("is_test"))
-    test = rows.where("is_test").withColumn("y", F.coalesce("has_generated_code", F.lit(False)).cast("int")).withColumn("rule", T.keyword_code("prompt_text"))
-    masked = rows.withColumn("prompt_text", T.mask_keywords("prompt_text"))
-    train_only = ["repo_prompt_count_train", "repo_median_words_train", "repo_code_rate_train", "repo_tool_rate_train"]
-    repo_only = features.assembled(features.metadata_columns(rows, train_only), train_only)
-    prompt = lambda d: ml.vectors(external.embedded(d, "prompt_text"))
-    runs = {"repo_only": repo_only, "prompt": prompt(rows), "prompt_masked": prompt(masked)}
-    out = None
-    for name, d in runs.items():
-        r = ml.trained_binary(d, "has_generated_code").select(F.lit(name).alias("representation"), "*")
-        out = r if out is None else out.unionByName(r)
-    audit = stats.label_audit(rows, row_id, "has_generated_code")
-    return {
-        "results": out, "majority": metrics.majority(test, "y"), "keyword": metrics.keyword_baseline(test, "y", "rule"), "audit": audit,
-        "always_positive": metrics.binary(test.withColumn("_one", F.lit(1)), "y", "_one"), "best": metrics.best_by(out, ["representation"], ["roc_auc", "f1"]),
+    rows = features.metadata_columns(rows.withColumns(T.linguistics("prompt_text")), [*SAFE_METADATA, *TRAIN_ONLY])
+    rows = ml.vectors(external.embedded(rows, "prompt_text", encoder, out="_e"), "_e", "prompt").withColumn("_m", T.mask_keywords("prompt_text"))
+    rows = ml.vectors(external.embedded(rows, "_m", encoder, out="_em"), "_em", "masked").drop("_e", "_em", "_m")
+    sets = {
+        "A_full/embedding": ["prompt"], "A_full/embedding+safe_metadata": ["prompt", *SAFE_METADATA], "A_full/repository": TRAIN_ONLY, "A_full/embedding+repository": ["prompt", *TRAIN_ONLY],
+        "A_full/tfidf": ["tfidf"], "B_keyword_masked/embedding": ["masked"], "B_keyword_masked/embedding+safe_metadata": ["masked", *SAFE_METADATA], "C_semantic_only/embedding": ["prompt"],
     }
+    sets = {k: v for k, v in sets.items() if only is None or k in only}
+    if any("tfidf" in v for v in sets.values()):
+        rows = features.with_tfidf(rows, "prompt_text", row_id, "tfidf")
+    rows = rows.cache()
+    try:
+        test, out, done = rows.where("is_test"), [], {}
+        for target in targets:
+            y = test.withColumn("y", F.coalesce(F.col(target), F.lit(False)).cast("int"))
+            major = metrics.majority(y, "y").select(F.lit("majority").alias("representation"), F.lit(None).cast("double").alias("f1"), "accuracy", F.lit(1.0).alias("coverage"))
+            rule = metrics.keyword_baseline(y.withColumn("rule", KEYWORD_RULES[target]("prompt_text")), "y", "rule")
+            base = major.unionByName(rule.select(F.lit("keyword_rule").alias("representation"), "f1", "accuracy", "coverage"))
+            out.append(ml.settled(base.select(F.lit("full").alias("dataset"), "representation", F.lit("rule").alias("model"), F.lit(target).alias("target"), F.lit(None).cast("double").alias("auc"), "f1", "accuracy", "coverage")))
+            for name, columns in sets.items():
+                dataset, representation = name.split("/")
+                if (target, *columns) not in done:
+                    ready = features.assembled(rows, columns, "set") if len(columns) > 1 else rows.withColumn("set", F.col(columns[0]))
+                    done[target, *columns] = ml.trained_binary(ready, target, "set", only=models or ["boosted_trees"])
+                r = done[target, *columns]
+                out.append(r.select(F.lit(dataset).alias("dataset"), F.lit(representation).alias("representation"), "model", "target", F.col("roc_auc").alias("auc"), "f1", "accuracy", F.lit(1.0).alias("coverage")))
+        results = ml.settled(*out)
+        audit = stats.label_audit(splits.group_split(df), row_id, "has_generated_code")
+        y = test.withColumn("y", F.coalesce(F.col(targets[0]), F.lit(False)).cast("int"))
+        return {
+            "results": results, "ablation": metrics.best_by(results.where(F.col("target") == targets[0]), ["dataset", "representation"], ["auc", "f1"]),
+            "named": metrics.named_model(results, ["dataset", "representation", "target"]), "split": ml.settled(splits.overlap_report(rows)),
+            "always_positive": ml.settled(metrics.binary(y.withColumn("_one", F.lit(1)), "y", "_one")), "audit": audit, "audit_summary": stats.distribution(audit, "audit_category"),
+        }
+    finally:
+        rows.unpersist()
 
 
-def label_with_model(df: DataFrame, labeller: external.Labeller | None = None, cache: DataFrame | None = None) -> dict[str, DataFrame]:
+def label_with_model(df: DataFrame, labeller: external.Labeller | None = None, cache: DataFrame | None = None, folder: str | None = None) -> dict[str, DataFrame]:
+    """Model labels held against the rule labels. With a folder, labelled rows are written there, so that each request is sent once."""
     rows = external.labelled(df, labeller, cache)
+    rows = exports.checkpointed(rows, folder) if folder else rows
     return {
-        "labelled": rows, "kappa": metrics.cohen_kappa(rows.where("llm_error IS NULL"), "action_type", "llm_action_type"),
+        "labelled": rows, "cache": external.label_cache(rows, cache), "kappa": metrics.cohen_kappa(rows.where("llm_error IS NULL"), "action_type", "llm_action_type"),
         "agreement": metrics.agreement_by_class(rows, "action_type", "llm_action_type"), "review": external.review_sheet(rows),
     }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +91,19 @@ def relocated(df: DataFrame, folder: str, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(folder.rstrip("/") + "/"), base(c))).otherwise(F.col(c)) for c in columns if c in df.columns})
 
 
-def english_view(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Translated text columns first, the others after them."""
+def write_analysis(tables: dict[str, DataFrame], folder: str) -> None:
+    """Small tables of a dataset's analysis: each as CSV, all of them in one JSON summary."""
+    summary = {}
+    for name, df in tables.items():
+        write_csv(df.coalesce(1), f"{folder.rstrip('/')}/{name}")
+        summary[name] = [r.asDict(recursive=True) for r in df.limit(1000).collect()]  # the CSV holds every row
+    text = json.dumps(summary, indent=2, default=str)
+    next(iter(tables.values())).sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/summary")
+
+
+def english_view(df: DataFrame, columns: list[str], max_rows: int | None = None, order: str = "row_id") -> DataFrame:
+    """Translated text columns first, the others after them; with max_rows, an option of the caller, the first rows by order."""
+    df = df if max_rows is None else df.orderBy(order).limit(max_rows)
     first = [f"{c}_en" for c in columns]
     return df.select(*first, *[c for c in df.columns if c not in first])
 
