@@ -1,10 +1,12 @@
 """Operator 4: URL rules looked up in a sorted digest array.
 
 Rules (host, path, verdict) become one file: 64-bit xxhash keys of host + path in ascending order, with
-offsets into the full strings. Each executor gets the file through the session's file distribution and
-memory-maps it, so its pages are shared by all Python workers of a machine. A batch of URLs is probed by
-vectorised binary search with the keys of every host suffix and path prefix that a rule could have; a
-digest hit counts only after the stored string is compared, so collisions can't decide.
+offsets into the full strings, and sorted keys of the distinct hosts with the lengths of their paths. Each
+executor gets the file through the session's file distribution and memory-maps it, so its pages are shared
+by all Python workers of a machine; opening it reads the header only. A batch of URLs is probed by two
+vectorised binary searches: one of its host suffixes among the hosts, one of the path prefixes whose lengths
+the hosts found there have. A digest hit counts only after the stored string is compared, so collisions
+can't decide.
 
 A rule fits its host and all subdomains if the URL's path starts with the rule's path; the longest rule
 wins, then the longer host. URLs without a rule get the list's default verdict.
@@ -15,7 +17,6 @@ no rule that names one; repeated rows are judged alike; an empty table gives an
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm._shared import columns_of, new_folder, unused
 
-_MAGIC = b"URLD0001"
+_MAGIC = b"URLD0002"
 
 
 @dataclass(frozen=True)
@@ -43,11 +44,23 @@ def digest(host: str, path: str) -> int:
 
 
 def digest_bytes(rules: Sequence[Rule]) -> bytes:
-    """The file. Later rules replace earlier ones of the same host and path."""
+    """The file. Later rules replace earlier ones of the same host and path.
+
+    Header: magic, numbers of rules, hosts and lengths, most labels of a host (8 bytes each); then keys and string ends
+    of rules, keys and length ends of hosts, the lengths, the strings. Hosts of one key share their lengths.
+    """
     last = {(r.host, r.path): r for r in rules}
     rows = sorted((digest(r.host, r.path), f"{r.host}\x00{r.path}\x00{r.verdict}".encode()) for r in last.values())
-    ends = np.cumsum([len(s) for _, s in rows], dtype="<u8") if rows else np.zeros(0, "<u8")
-    return _MAGIC + struct.pack("<Q", len(rows)) + np.array([k for k, _ in rows], "<u8").tobytes() + ends.tobytes() + b"".join(s for _, s in rows)
+    sizes: dict[int, set[int]] = {}
+    for host, path in last:
+        sizes.setdefault(digest(host, ""), set()).add(len(path))
+    hosts = sorted(sizes)
+    lengths = [n for h in hosts for n in sorted(sizes[h])]
+    labels = max((host.count(".") + 1 for host, _ in last), default=0)
+    array = lambda values: np.array(values, "<u8").tobytes()
+    parts = [array([len(rows), len(hosts), len(lengths), labels]), array([k for k, _ in rows]), array(np.cumsum([len(t) for _, t in rows]))]
+    parts += [array(hosts), array(np.cumsum([len(sizes[h]) for h in hosts])), array(lengths)]
+    return b"".join([_MAGIC, *parts, *(t for _, t in rows)])
 
 
 class Digests:
@@ -57,49 +70,44 @@ class Digests:
         raw = np.memmap(path, np.uint8, "r")
         if raw[:8].tobytes() != _MAGIC:
             raise ValueError(f"{path} is no digest array")
-        n = int(raw[8:16].view("<u8")[0])
-        self.keys = raw[16 : 16 + 8 * n].view("<u8")
-        self.ends = raw[16 + 8 * n : 16 + 16 * n].view("<u8")
-        self.strings = raw[16 + 16 * n :]
-        self.probes = self._shapes(n)
-
-    def _shapes(self, n: int) -> tuple[list[int], list[int]]:
-        """Numbers of host labels, and lengths of paths, that any rule has."""
-        labels, lengths = set(), set()
-        for k in range(n):
-            host, path, _ = self.at(k)
-            labels.add(host.count(".") + 1)
-            lengths.add(len(path))
-        return sorted(labels), sorted(lengths)
+        n, hosts, lengths, self.labels = raw[8:40].view("<u8").tolist()
+        cuts = 40 + 8 * np.cumsum([0, n, n, hosts, hosts, lengths])
+        self.keys, self.ends, self.hosts, self.length_ends, self.lengths = (raw[a:b].view("<u8") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        self.strings = raw[int(cuts[-1]) :]
 
     def at(self, k: int) -> tuple[str, str, str]:
         a = int(self.ends[k - 1]) if k else 0
         return tuple(self.strings[a : int(self.ends[k])].tobytes().decode().split("\x00"))
 
+    def _sizes(self, hosts: list[str]) -> dict[str, list[tuple[str, list[int]]]]:
+        """For each distinct host its suffixes that have rules (or share a digest with one that has), with their path lengths."""
+        suffixes: dict[str, list[str]] = {}
+        for h in dict.fromkeys(hosts):
+            tail = h.rsplit(".", self.labels)[-self.labels :] if h and self.labels else []
+            suffixes[h] = [".".join(tail[k:]) for k in range(len(tail))]
+        distinct = list(dict.fromkeys(s for many in suffixes.values() for s in many))
+        keys = np.array([digest(s, "") for s in distinct], np.uint64)
+        at = np.searchsorted(self.hosts, keys)
+        known = {}
+        for k in np.flatnonzero(np.searchsorted(self.hosts, keys, "right") > at).tolist():
+            place = int(at[k])
+            known[distinct[k]] = self.lengths[int(self.length_ends[place - 1]) if place else 0 : int(self.length_ends[place])].tolist()
+        return {h: [(s, known[s]) for s in many if s in known] for h, many in suffixes.items()}
+
     def find(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str] | None]:
         """(rule, verdict) for each host and path."""
-        best: list[tuple[int, int, str, str] | None] = [None] * len(hosts)
-        split = [h.split(".") if h else [] for h in hosts]
-        for labels in self.probes[0]:
-            long = [k for k, s in enumerate(split) if len(s) >= labels]
-            suffix = {k: ".".join(split[k][-labels:]) for k in long}
-            for size in self.probes[1]:
-                rows = [k for k in long if len(paths[k]) >= size]
-                if not rows:
-                    continue
-                asked = [(suffix[k], paths[k][:size]) for k in rows]
-                distinct = list(dict.fromkeys(asked))
-                keys = np.array([digest(*a) for a in distinct], np.uint64)
-                lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-                found = {}
-                for j in np.flatnonzero(hi > lo).tolist():
-                    for at in range(int(lo[j]), int(hi[j])):
-                        host, path, verdict = self.at(at)
-                        if (host, path) == distinct[j]:
-                            found[distinct[j]] = (len(host) + len(path), len(host), host + path, verdict)
-                for k, a in zip(rows, asked, strict=True):
-                    if a in found and (best[k] is None or found[a][:2] > best[k][:2]):
-                        best[k] = found[a]
+        sizes = self._sizes(hosts)
+        asked = [[(s, p[:n]) for s, many in sizes[h] for n in many if n <= len(p)] for h, p in zip(hosts, paths, strict=True)]
+        distinct = list(dict.fromkeys(a for row in asked for a in row))
+        keys = np.array([digest(*a) for a in distinct], np.uint64)
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        found = {}
+        for j in np.flatnonzero(hi > lo).tolist():
+            for at in range(int(lo[j]), int(hi[j])):
+                host, path, verdict = self.at(at)
+                if (host, path) == distinct[j]:
+                    found[distinct[j]] = (len(host) + len(path), len(host), host + path, verdict)
+        best = [max((found[a] for a in row if a in found), default=None) for row in asked]
         return [b and b[2:] for b in best]
 
 

@@ -135,6 +135,31 @@ def test_url_collisions(monkeypatch):
     assert found == [("a.com/", "block"), ("b.com/x", "block"), None, ("b.com/", "allow")]
 
 
+def test_many_rules(tmp_path):
+    rules = [url_filter.Rule(f"h{i % 70_000}.{('org', 'example.com')[i % 2]}", "/" + "p" * (i % 190) + str(i // 70_000), "block") for i in range(200_000)]
+    (tmp_path / "rules.bin").write_bytes(url_filter.digest_bytes(rules))
+    d = url_filter.Digests(f"{tmp_path}/rules.bin")
+    some = rules[::400]
+    hosts = [x for r in some for x in (r.host, f"a.b.{r.host}", f"x{r.host}", "", ".".join("a" * 5000))]
+    paths = [x for r in some for x in (r.path, f"{r.path}/more", r.path, r.path, r.path)]
+    by = {}
+    for r in rules:
+        by.setdefault(r.host, []).append(r)
+
+    def plain(host, path):
+        parts = host.split(".") if len(host) < 100 else []
+        fits = [r for k in range(len(parts)) for r in by.get(".".join(parts[k:]), []) if path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.host) + len(r.path), len(r.host)), default=None)
+        return best and (best.host + best.path, best.verdict)
+
+    assert d.find(hosts, paths) == [plain(h, p) for h, p in zip(hosts, paths, strict=True)]
+
+
+def test_no_rules(tmp_path):
+    (tmp_path / "rules.bin").write_bytes(url_filter.digest_bytes([]))
+    assert url_filter.Digests(f"{tmp_path}/rules.bin").find(["a.com", ""], ["/", ""]) == [None, None]
+
+
 def test_words():
     import re
 
