@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Prompts open with the phrase of doc_id % 12; the whole text follows.
+#: (phrase, whether it could stand alone): prompts open with the phrase of doc_id % 12; the whole text follows.
 SEEDS = [
-    "Fix the bug in the login module: ", "Ok, continue.", "/fix now", "Add unit tests for the login component. ", "Why does this crash? ", "Explain what does the error mean: ",
-    "Please review and check the README. ", "ok, use PyQt6 and continue with ", "Refactor the SQL query and the database schema ", "./src/app.tsx", "here is the context you should return ", "",
+    ("Fix the bug in the login module: ", False), ("Ok, continue.", True), ("/fix now", True), ("Add unit tests for the login component. ", False),
+    ("Why does this crash? ", False), ("Explain what does the error mean: ", False), ("Please review and check the README. ", False), ("ok, use PyQt6 and continue with ", False),
+    ("Refactor the SQL query and the database schema ", False), ("./src/app.tsx", True), ("here is the context you should return ", False), ("", False),
 ]
 
-_PHRASE = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SEEDS)) + " ELSE '' END"
+_PHRASE = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, (s, _) in enumerate(SEEDS)) + " ELSE '' END"
 PROMPTS = [
     "doc_id AS row_id", "source AS full_name", "concat('h', CAST(doc_id % 3 AS STRING), '.md') AS source_file",
     "CAST(row_number() OVER (PARTITION BY source, doc_id % 3 ORDER BY doc_id) AS INT) AS turn_index", f"concat({_PHRASE}, coalesce(text, '')) AS prompt_text",
