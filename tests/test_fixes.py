@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
 from sessionloom.operators import discovery, external, features, metrics, sessions, splits
-from sessionloom.plans import composites, reports, views
+from sessionloom.plans import catalogue, composites, reports, views
 from sessionloom.sources import exports
 from sessionloom.streaming import incremental
 
@@ -82,3 +82,14 @@ def test_predict_actions(spark, sf_dir):
     assert {r["representation"] for r in results} == {"prompt_only", "prompt+history"}
     assert all(0 <= r["accuracy"] <= 1 for r in results) and out["overlap"].first()["leakage_free"]
     assert {r["rep_b"] for r in out["significance"].collect()} == {"prompt+history"}
+
+
+def test_files_whose_only_prompt_is_noise_are_counted(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "user", "ok"), (1, 1, "assistant", "a long answer to it"), (2, 0, "user", "Was or st onwh, is."), (3, 0, "user", "Rename the loader and add a test for it"), (4, 0, "user", ""), (5, 0, "user", None), (6, 0, "assistant", "hello"), (None, 0, "user", "Explain the loader")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duck.sql(catalogue.ORACLES["extraction_files"]).fetchall()
+    assert [tuple(r) for r in catalogue.QUERIES["extraction_files"](spark, str(tmp_path)).collect()] == want == [(3,)]
