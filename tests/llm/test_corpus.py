@@ -183,6 +183,47 @@ def test_search_prunes_exactly():
         assert docs_.tolist() == order[every[order] > 0].tolist() and scores.tolist() == every[order][every[order] > 0].tolist()
 
 
+def zipf_texts(n, seed):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    return [" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(3000)], k=r.randrange(0, 120))) for _ in range(n)]
+
+
+def test_search_scores_few_documents_in_full():
+    texts = zipf_texts(2000, 5)
+    shard = bm25_search.Shard(list(range(2000)), pa.array(texts), 60.0)
+    seen, plain = [], shard.full
+    shard.full = lambda docs, *more: seen.append(len(docs)) or plain(docs, *more)
+    asked = [q for q in texts[:50] if q]
+    for q in asked:
+        _, terms, n, _ = bm25_search.terms_of(pa.array([q]))
+        shard.top(terms, n * 1.5, 10)
+    assert sum(seen) <= 30 * len(asked)
+
+
+def test_search_in_batches_keeps_thresholds_of_earlier_shards():
+    texts = [*zipf_texts(900, 6), "only one has zebra", "", *["the same text twice"] * 30]
+    half = len(texts) // 2
+    shards = [bm25_search.Shard(list(range(a, b)), pa.array(texts[a:b]), 60.0) for a, b in ((0, half), (half, len(texts)))]
+    assert all(s.dense.shape[1] and len(s.p_doc) for s in shards)
+    _, terms, n, _ = bm25_search.terms_of(pa.array(texts))
+    row = bm25_search.terms_of(pa.array(texts))[0]
+    weights = n * np.random.default_rng(1).uniform(0.01, 9, len(n))
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    floors = np.zeros(len(texts))
+    got = [list(s.tops(first, terms, weights, 10, floors)) for s in shards]
+    for q in range(0, len(texts), 7):
+        t, w = terms[first[q] : first[q + 1]], weights[first[q] : first[q + 1]]
+        every = []
+        for s in shards:
+            at = np.minimum(np.searchsorted(s.terms, t), len(s.terms) - 1)
+            s.weight[at[s.terms[at] == t]] = w[s.terms[at] == t]
+            every += [(-x, s.doc_ids[d]) for d, x in enumerate(s.full(np.arange(len(s.doc_ids))).tolist()) if x > 0]
+            s.weight[:] = 0
+        found = [(-x, s.doc_ids[d]) for s, out in zip(shards, got, strict=True) for d, x in zip(*(v.tolist() for v in out[q]), strict=True)]
+        assert sorted(found)[:10] == sorted(every)[:10]
+
+
 def test_search_shards_agree(spark, docs):
     d = docs.select("doc_id", "text")
     a = bm25_search.searched(d, d.where("doc_id % 20 = 0"), docs_per_shard=1000).orderBy("query_id", "rank").collect()
