@@ -234,6 +234,50 @@ def test_search_shards_agree(spark, docs):
     assert bm25_search.searched(odd.limit(0), odd.limit(0)).count() == 0
 
 
+def test_search_gives_k_rows_a_query_whatever_the_shards(spark, docs):
+    d = docs.select("doc_id", "text")
+    asked = d.where("doc_id % 20 = 0")
+    rows = [bm25_search.found(d, asked, 3, size, tasks=1).count() for size in (1000, 37)]
+    assert rows[0] == rows[1] <= 3 * asked.count()
+    split = bm25_search.found(d, asked, 3, 37, tasks=4).groupBy("query_id", "text_hash").count().agg({"count": "max"}).first()[0]
+    assert 3 < split <= 12
+
+
+def test_search_tasks_keep_thresholds_of_earlier_shards():
+    texts = zipf_texts(1200, 8)
+    ids = [None, *range(1, 1200)]
+    shards = [bm25_search.Shard(ids[a : a + 200], pa.array(texts[a : a + 200]), 60.0) for a in range(0, 1200, 200)]
+    row, terms, n, _ = bm25_search.terms_of(pa.array(texts[:40]))
+    first, best, seen = np.searchsorted(row, np.arange(41)), bm25_search.Best(40, 5), []
+    for s in shards:
+        plain, scored = s.full, []
+        s.full = lambda docs, *more, f=plain, to=scored: to.append(len(docs)) or f(docs, *more)
+        for q, (at, scores) in enumerate(s.tops(first, terms, n * 1.5, 5, best.floors)):
+            best.add(q, scores, s.ids[at], s.known[at])
+        seen.append(sum(scored))
+    assert max(seen[3:]) < seen[0] / 2
+    whole = bm25_search.Shard(ids, pa.array(texts), 60.0)
+    for q, (at, scores) in enumerate(whole.tops(first, terms, n * 1.5, 5, np.zeros(40))):
+        assert best.scores[q, : best.n[q]].tolist() == scores.tolist()
+        assert [i if k else None for i, k in zip(best.ids[q].tolist(), best.known[q].tolist(), strict=True)][: best.n[q]] == [whole.doc_ids[d] for d in at.tolist()]
+
+
+def test_search_index_holds_every_document_once(spark, tmp_path):
+    d = spark.createDataFrame([(i if i else None, f"word{i} common" if i % 9 else "") for i in range(200)] + [(500, None)], "doc_id long, text string")
+    for df in (d.repartition(1), d.repartition(40)):
+        made = bm25_search._indexed(df, 32)
+        assert sum(x[1] for x in made) == 200 and sum(x[2] for x in made) == 2 * 177 and all(x[1] <= 48 for x in made)
+        opened = [bm25_search.load(*bm25_search.file_system(x[0])) for x in made]
+        assert sorted(i for x in opened for i in x["ids"].tolist()) == list(range(200)) and sum((~x["known"]).sum() for x in opened) == 1
+        assert len(made) <= 8
+    fs = pa.fs.SubTreeFileSystem(str(tmp_path), pa.fs.LocalFileSystem())  # read as a remote one
+    x = bm25_search.index([1, 2], [bm25_search.terms_of(pa.array(["", ""]))])
+    bm25_search.save(fs, "x", x)
+    back = bm25_search.load(fs, "x")
+    assert all(back[k].dtype == v.dtype and back[k].tolist() == v.tolist() for k, v in x.items())
+    assert list(bm25_search.load(fs, "x", "terms", "df")) == ["terms", "df"]
+
+
 def test_search_asks_every_text_of_a_doc_id(spark):
     d = spark.createDataFrame([(20, "red fox"), (20, "blue whale"), (20, "red fox"), (1, "a red fox runs"), (2, "one blue whale")], "doc_id long, text string")
     out = bm25_search.searched(d, d.where("doc_id = 20"), docs_per_shard=2).collect()
